@@ -6,9 +6,12 @@ layout of an Arrow string column), so no per-word Python objects are made.
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Text bytes handled at a time inside a Python worker.
@@ -153,17 +156,42 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def ensure_checkpoint_dir(spark) -> str:
-    """The shared checkpoint folder named by spark.checkpoint.dir; a folder of
-    our own only where that setting is absent (as in tests)."""
-    have = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(have or "/tmp/checkpoints")
-    return jsc.getCheckpointDir().get()
+_written: list = []
+
+
+def _forget() -> None:
+    for spark, path in _written:
+        try:
+            fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs_path, True)
+        except Exception:  # the session may have ended before
+            pass
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back (lineage cut)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written as Parquet to the folder of spark.checkpoint.dir and read back.
+
+    This cuts the lineage and survives lost executors, since the files are in
+    the folder that the cluster shares. A folder of our own is used only where
+    the setting is absent, as in tests. The files go when the driver exits.
+    """
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{top.rstrip('/')}/larkspool-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(_forget)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def exclusive_prefix(df: DataFrame, key: str, value: str, out: str, group: int = 4096) -> DataFrame:
+    """(key, out): for each distinct whole-number key >= 0 the sum of value over
+    all smaller keys. Keys are summed in groups first, so that the only window
+    without a partition key has one row for each group."""
+    per = df.groupBy(key).agg(F.sum(value).alias("_v")).withColumn("_g", F.floor(F.col(key) / group).cast("long"))
+    tops = per.groupBy("_g").agg(F.sum("_v").alias("_t"))
+    before = F.coalesce(F.sum("_t").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = tops.select("_g", before.alias("_b"))
+    within = F.coalesce(F.sum("_v").over(Window.partitionBy("_g").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return per.join(tops, "_g").select(key, (F.col("_b") + within).cast("long").alias(out))
