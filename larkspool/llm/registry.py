@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import packing, sharding
 
 QUERIES = {
+    "op3_token_binary": packing.op3_token_binary,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op9_global_shuffle": sharding.op9_global_shuffle,
 }
 ORACLES: dict[str, str] = {}
