@@ -98,45 +98,66 @@ class Histogram:
 def exact_complement_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) that use up all counts.
 
-    Longest length first, its gap is filled exactly by a single length, a pair,
-    then a triple, found through an index from sums to members; each combination
-    is consumed as often as the availability counts allow. What no combination
+    Longest length first, its gap is filled exactly by a single length, a pair or
+    a triple, found through an index from sums to members; each combination is
+    consumed as often as the availability counts allow. What no combination
     fills goes to best fit: longest first into the fullest sequence that holds it.
+    Exact fills can use up short lengths that best fit would have needed, so the
+    plan is made with fills of up to one, two and three members, in either order
+    of trial, and the one with the fewest sequences is taken.
     """
+    plans = [_plan(counts, capacity, most, long_first) for most in (0, 1, 2, 3) for long_first in (True, False)[: 1 + (most > 1)]]
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int, long_first: bool) -> list[tuple[tuple[int, ...], int]]:
     h = Histogram(counts, capacity)
-    for a in range(capacity, 0, -1):  # whole sequences and pairs first: they use no small lengths
+    for a in range(capacity, 0, -1):
         if h.left[a] and a == capacity:
             h.take((a,))
-        elif h.left[a] and capacity - a <= a:
+        elif most and h.left[a] and capacity - a <= a:
             h.take((a, capacity - a))
-    for a in range(capacity - 1, 0, -1):
+    for a in range(capacity - 1, 0, -1) if most > 1 else ():
         gap = capacity - a
-        while h.left[a]:
-            b = np.arange(min(gap - 1, a), (gap - 1) // 2, -1)  # pair sums that fill the gap
-            b = b[(h.left[b] > 0) & (h.left[gap - b] > 0)] if len(b) else b
-            if not any(h.take((a, int(x), gap - int(x))) for x in b.tolist()):
-                break
-        while h.left[a]:  # triple sums
-            have = np.flatnonzero(h.left[: min(gap - 1, a + 1)]) if gap > 2 else np.zeros(0, int)
-            pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            if len(have):
-                x, y = np.meshgrid(have, have, indexing="ij")
-                z = gap - x - y
-                ok = (x >= y) & (z >= 1) & (z <= y)
-                ok[ok] = h.left[z[ok]] > 0
-                for p, q, r in zip(x[ok].tolist(), y[ok].tolist(), z[ok].tolist(), strict=True):
-                    pairs[p].append((q, r))
-            if not sum(h.take((a, p, q, r)) for p in sorted(pairs, reverse=True) for q, r in pairs[p]):
-                break
+        for fills in (_pairs, _triples)[: most - 1]:
+            while h.left[a]:
+                found = sorted(fills(h.left, gap, min(gap - 1, a)), reverse=long_first)
+                if not sum(h.take((a, *x)) for x in found):
+                    break
+    return h.plan + _best_fit(h.left, capacity)
+
+
+def _pairs(left: np.ndarray, gap: int, longest: int) -> list[tuple[int, int]]:
+    """Pairs of available lengths that sum to the gap."""
+    b = np.arange((gap + 1) // 2, longest + 1)
+    b = b[(left[b] > 0) & (left[gap - b] > 0)] if len(b) else b
+    return [(x, gap - x) for x in b.tolist()]
+
+
+def _triples(left: np.ndarray, gap: int, longest: int) -> list[tuple[int, int, int]]:
+    """Triples of available lengths that sum to the gap, longest member first."""
+    have = np.flatnonzero(left[: longest + 1])
+    x, y = np.meshgrid(have, have, indexing="ij")
+    z = gap - x - y
+    ok = (x >= y) & (z >= 1) & (z <= y)
+    ok[ok] = left[z[ok]] > 0
+    return list(zip(x[ok].tolist(), y[ok].tolist(), z[ok].tolist(), strict=True))
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, longest first; sequences with like contents are held as one."""
     open_: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)  # by room left: contents and how many
     for a in range(capacity, 0, -1):
-        n = int(h.left[a])
+        n = int(left[a])
         while n:
             room = next((r for r in range(a, capacity) if open_.get(r)), capacity)
-            if room == capacity:
-                open_[capacity - a][(a,)] = open_[capacity - a].get((a,), 0) + n
-                n = 0
-                continue
+            if room == capacity:  # open as many as are needed for what is left of this length
+                per = capacity // a
+                for size, k in ((per, n // per), (n % per, 1)):
+                    if size and k:
+                        held = (a,) * size
+                        open_[capacity - a * size][held] = open_[capacity - a * size].get(held, 0) + k
+                break
             held, k = open_[room].popitem()
             use = min(k, n)
             if k > use:
@@ -144,7 +165,7 @@ def exact_complement_plan(counts: dict[int, int], capacity: int = CAPACITY) -> l
             more = (*held, a)
             open_[room - a][more] = open_[room - a].get(more, 0) + use
             n -= use
-    return h.plan + [(held, k) for sets in open_.values() for held, k in sets.items()]
+    return [(held, k) for sets in open_.values() for held, k in sets.items()]
 
 
 def place_table(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
