@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import langid, packing, sharding, toxicity
 
 QUERIES = {
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_language_id": langid.op8_language_id,
     "op3_token_binary": packing.op3_token_binary,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op9_global_shuffle": sharding.op9_global_shuffle,

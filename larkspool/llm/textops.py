@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes handled at a time inside a Python worker.
 CHUNK_BYTES = 2 << 20
@@ -195,3 +196,29 @@ def exclusive_prefix(df: DataFrame, key: str, value: str, out: str, group: int =
     tops = tops.select("_g", before.alias("_b"))
     within = F.coalesce(F.sum("_v").over(Window.partitionBy("_g").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return per.join(tops, "_g").select(key, (F.col("_b") + within).cast("long").alias(out))
+
+
+_code_keys: list[np.ndarray] = []
+
+
+def code_point_keys() -> np.ndarray:
+    """A pseudo-random 64-bit value per Unicode code point."""
+    if not _code_keys:
+        _code_keys.append(mix(np.arange(1, 0x110001, dtype=np.uint64) * _MUL))
+    return _code_keys[0]
+
+
+def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts laid end to end, and offsets."""
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), offs
+
+
+def text_chunks(texts: list[str], limit: int = CHUNK_BYTES // 2):
+    """Ranges of whole texts of about limit characters."""
+    yield from chunks(np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), limit)
+
+
+def extended(docs: DataFrame, **more: str) -> T.StructType:
+    """The schema of docs with columns added at its end."""
+    return T.StructType(list(docs.schema.fields) + [T.StructField(k, T._parse_datatype_string(v)) for k, v in more.items()])
