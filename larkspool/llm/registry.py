@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, packing, sharding, toxicity
+from . import fingerprint, langid, packing, sharding, simhash, toxicity
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op6_fingerprints": fingerprint.op6_fingerprints,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_language_id": langid.op8_language_id,
     "op3_token_binary": packing.op3_token_binary,
