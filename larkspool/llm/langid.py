@@ -205,12 +205,13 @@ class Model:
 def train(labelled: DataFrame, per_lang: int = PER_LANG, order: int = ORDER) -> Model:
     """labelled: doc_id, text, lang. A fifth of the sample only calibrates."""
     rows = narrow(labelled, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    salted = rows.withColumn("_h", F.xxhash64("doc_id")).withColumn("_s", F.pmod("_h", F.lit(64)))
-    pick = salted.select("lang", "_s", "_h", "doc_id", "text")
-    first = F.row_number().over(Window.partitionBy("lang", "_s").orderBy("_h", "doc_id"))  # split first: a language may hold most rows
-    again = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    ids = pick.select("lang", "_s", "_h", "doc_id").withColumn("_n", first).where(F.col("_n") <= per_lang).withColumn("_m", again).where(F.col("_m") <= per_lang).select("doc_id", F.col("_m"))
-    got = rows.join(F.broadcast(ids), "doc_id").orderBy("lang", "_m", "text").collect()  # per_lang rows a language
+    # ids alone are drawn, so texts aren't shuffled; first split by hash, as a language may hold most rows
+    ids = rows.groupBy("doc_id").agg(F.min("lang").alias("_lang")).withColumn("_h", F.xxhash64("doc_id")).withColumn("_s", F.pmod("_h", F.lit(64)))
+    part = F.row_number().over(Window.partitionBy("_lang", "_s").orderBy("_h", "doc_id"))
+    ids = ids.withColumn("_n", part).where(F.col("_n") <= per_lang)
+    ids = ids.withColumn("_m", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "doc_id"))).where(F.col("_m") <= per_lang)
+    picked = rows.join(F.broadcast(ids.select("doc_id", "_lang", "_m")), "doc_id").where("lang = _lang")  # per_lang ids a language
+    got = picked.groupBy("doc_id", "lang", "_m").agg(F.min("text").alias("text")).orderBy("lang", "_m").collect()
     fit: dict[str, list[str]] = {}
     held: list[tuple[str, str]] = []
     for r in got:
