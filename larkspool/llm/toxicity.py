@@ -113,64 +113,6 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, orders
     return fit([np.frombuffer(r["f"], np.int32) for r in got], np.array([r["toxic"] for r in got]), share, orders, bits)
 
 
-def score(self, texts: list[str]) -> np.ndarray:
-        out = np.full(len(texts), self.intercept)
-        for d, f in enumerate(features(texts, self.orders, self.bits)):
-            if len(f):
-                out[d] += SCALE * self.weights[f].sum() / (np.sqrt(self.squares[f].sum()) + 1e-9)
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, orders=ORDERS, bits=BITS, penalty=PENALTY, steps=STEPS) -> Model:
-    """rows: features() of the sample; share: of label 1 among all labelled rows."""
-    y = labels.astype(float)
-    size = 1 << bits
-    if not len(y) or y.min() == y.max():
-        p = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(size), np.zeros(size), float(np.log(p / (1 - p))), orders, bits)
-    lens = np.array([len(x) for x in rows])
-    idx, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), lens)
-    pos = np.bincount(idx, weights=y[doc], minlength=size) + 1
-    neg = np.bincount(idx, weights=1 - y[doc], minlength=size) + 1
-    ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    norm = np.sqrt(np.bincount(doc, weights=ratio[idx] ** 2, minlength=len(rows))) + 1e-9
-    x = SCALE * ratio[idx] / norm[doc]
-    v, b = np.zeros(size), 0.0
-    m, s, mb, sb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    for k in range(1, steps + 1):
-        z = np.bincount(doc, weights=x * v[idx], minlength=len(rows)) + b
-        g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        gv = np.bincount(idx, weights=x * g[doc], minlength=size) / len(y) + penalty * v / 10
-        m, s = 0.9 * m + 0.1 * gv, 0.99 * s + 0.01 * gv * gv
-        mb, sb = 0.9 * mb + 0.1 * g.mean(), 0.99 * sb + 0.01 * g.mean() ** 2
-        step = 0.05 * np.sqrt(1 - 0.99**k) / (1 - 0.9**k)
-        v -= step * m / (np.sqrt(s) + 1e-8)
-        b -= step * mb / (np.sqrt(sb) + 1e-8)
-    here, p = y.mean(), min(max(share, 1e-6), 1 - 1e-6)
-    shift = np.log(p / (1 - p)) - np.log(here / (1 - here))
-    return Model(v * ratio, ratio**2, float(b + shift), orders, bits)
-
-
-def train(labelled: DataFrame, per_class: int = PER_CLASS, orders=ORDERS, bits=BITS) -> Model:
-    """labelled: doc_id, text, toxic."""
-    labelled = labelled.where(F.col("toxic").isin(0, 1))
-    counts = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
-    share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-
-    def run(batches):
-        for batch in batches:
-            rows = [x.astype(np.int32).tobytes() for x in features(batch.column(0).to_pylist(), orders, bits)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1).cast(pa.int32())], ["f", "toxic"])
-
-    picked = None
-    for label in (0, 1):
-        some = labelled.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", "toxic"), "doc_id", F.xxhash64("text")).limit(per_class).select("text", "toxic")
-        picked = some if picked is None else picked.unionByName(some)
-    got = picked.repartition(8).mapInArrow(run, "f binary, toxic int").collect()
-    got.sort(key=lambda r: (r[1], r[0]))
-    return fit([np.frombuffer(r[0], np.int32) for r in got], np.array([r[1] for r in got]), share, orders, bits)
-
-
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with the score; it replaces a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: two arrays of 2**bits
