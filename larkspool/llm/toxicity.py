@@ -2,7 +2,8 @@
 
 Whether a hashed character n-gram occurs in a text is a feature; its value is the
 log-count ratio of the n-gram between the classes, and each text's vector is
-brought to unit length. Logistic regression over these features is fitted on the
+brought to unit length; n-grams whose occurrence doesn't differ significantly
+between the classes count as nothing. Logistic regression over these features is fitted on the
 driver to a bounded sample: per class at most `per_class` labelled rows, those
 with the smallest hash of their id. The classes' true shares, counted over all
 labelled rows, set the intercept.
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 
 from .textops import RollingHash, characters, code_point_keys, extended, fold, narrow, text_chunks
 
-ORDERS = (4,)
+ORDERS = (4, 5)
 BITS = 18
 PER_CLASS = 1500
-PENALTY = 1e-3
+PENALTY = 1e-2
+#: Least likelihood-ratio statistic of an n-gram against the classes (p < 1e-4).
+EVIDENCE = 16.0
 STEPS = 80
 THRESHOLD = 0.7
 #: Brings unit-length vectors to the scale at which STEPS of Adam settle.
@@ -62,6 +65,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def evidence(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """The likelihood-ratio statistic of features in a of n1 texts and b of n0."""
+
+    def term(x):
+        return x * np.log(np.maximum(x, 1e-12))
+
+    n = np.float64(n1 + n0)
+    return 2 * (term(a) + term(b) + term(n1 - a) + term(n0 - b) - term(a + b) - term(n - a - b) - term(n1) - term(n0) + term(n))
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, orders=ORDERS, bits=BITS, penalty=PENALTY, steps=STEPS) -> Model:
     """rows: features() of the sample; share: of label 1 among all labelled rows."""
     y = labels.astype(float)
@@ -74,6 +87,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, orders=ORDERS,
     pos = np.bincount(idx, weights=y[doc], minlength=size) + 1
     neg = np.bincount(idx, weights=1 - y[doc], minlength=size) + 1
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
+    ratio[evidence(pos - 1, neg - 1, y.sum(), (1 - y).sum()) < EVIDENCE] = 0
     norm = np.sqrt(np.bincount(doc, weights=ratio[idx] ** 2, minlength=len(rows))) + 1e-9
     x = SCALE * ratio[idx] / norm[doc]
     v, b = np.zeros(size), 0.0
