@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, langid, packing, sharding, simhash, suffixdedup, toxicity
+from . import decontam, fingerprint, langid, lm, packing, sharding, simhash, suffixdedup, toxicity
 
 QUERIES = {
+    "op1_lm_scoring": lm.op1_lm_scoring,
     "op4_suffix_dedup": suffixdedup.op4_suffix_dedup,
     "op10_decontamination": decontam.op10_decontamination,
     "op2_simhash": simhash.op2_simhash,
