@@ -1,11 +1,64 @@
-"""The corpus pipeline; its stages follow as their operators are built."""
+"""The corpus pipeline: five stages over documents, each one of the operators.
 
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
+kept. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspool.llm import decontam, packing, simhash, suffixdedup, toxicity
+
+#: SQL can't express the trained, the hashed and the packing stages.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under the threshold; the classifier learns from labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    name = "_toxicity"
+    scored = toxicity.score(docs, toxicity.train(docs, labels), name)
+    return scored.where(F.col(name) < toxicity.THRESHOLD).drop(name)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return simhash.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the long strings that occur elsewhere, too."""
+    return suffixdedup.without_repeats(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed."""
+    return packing.best_fit_packing(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_benchmark),
+    ("best_fit_packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
+    from larkspool.llm.textops import stored
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
     return docs

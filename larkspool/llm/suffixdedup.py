@@ -33,6 +33,7 @@ an output column (kept, n_bytes, n_removed, n_spans, spans), which are replaced.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -258,22 +259,16 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with the repeats cut out of text (n_chars, if there, counts anew). A
     character that a cut leaves in part is dropped; a null text stays null."""
     out = remove_repeats(docs, **options)
-    text = F.when(F.col("text").isNotNull(), F.when(F.col("n_removed") == 0, F.col("text")).otherwise(_decoded("kept")))
+    text = F.when(F.col("text").isNotNull(), F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.pandas_udf(_decoded, "string")("kept")))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
-def _decoded(col: str):
+def _decoded(data: pd.Series) -> pd.Series:
     """UTF-8 bytes as text without what isn't valid."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def decode(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: b.decode("utf-8", "ignore"))
-
-    return decode(col)
+    return data.map(lambda b: b.decode("utf-8", "ignore"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
