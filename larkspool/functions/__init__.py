@@ -1 +1 @@
-
+"""Column functions over text and token arrays."""

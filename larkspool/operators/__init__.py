@@ -1 +1 @@
-
+"""Operators over clip manifests."""
