@@ -1 +1 @@
-
+"""Readers and writers of manifests, codes, vectors and audio."""

@@ -1 +1 @@
-
+"""Streaming runs of the manifest operators."""
