@@ -27,33 +27,34 @@ from .textops import LOWER, RollingHash, chunks, mix, narrow, stored, word_spans
 
 SAMPLES = 64
 #: (term, weight) pairs whose samples are drawn at a time.
-DRAWN = 4096
+DRAWN = 1024
 
 
-def _uniform(x: np.ndarray) -> np.ndarray:
-    return ((x >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+def _uniform(x: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits as a number inside (0, 1)."""
+    return ((x >> np.uint64(64 - bits)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-bits)
+
+
+def _seeds(samples: int) -> np.ndarray:
+    return mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def draw(terms: np.ndarray, weights: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each (term, weight): ln a in each sample, and the 16 bits kept."""
-    k = mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    base = mix(terms[:, None] ^ k[None, :])
-    one = mix(base + np.uint64(1))
-    two = mix(base + np.uint64(2))
-    low = np.uint64(24)
-    r = -np.log(_uniform(base) * _uniform(base << low))
-    c = -np.log(_uniform(one) * _uniform(one << low))
-    b = _uniform(two)
+    """For each (term, weight): ln a and t in each sample."""
+    base = mix(terms[:, None] ^ _seeds(samples)[None, :])
+    more = mix(base + np.uint64(1))
+    r = -np.log(_uniform(base, 24) * _uniform(base << np.uint64(24), 24))
+    c = -np.log(_uniform(more, 24) * _uniform(more << np.uint64(24), 24))
+    b = _uniform(base << np.uint64(48), 16)
     t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + b)
-    ln_a = np.log(c) - r * (t - b) - r
-    kept = (mix(base ^ (t.astype(np.int64).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))) >> np.uint64(48)).astype(np.uint16)
-    return ln_a, kept
+    return np.log(c) - r * (t - b) - r, t
 
 
 def fingerprints(texts: list[bytes], samples: int = SAMPLES) -> np.ndarray:
     """A row of 16-bit samples for each UTF-8 text."""
     out = np.zeros((len(texts), samples), np.uint16)
     sizes = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    seeds, column = _seeds(samples), np.arange(samples)
     for i, j in chunks(sizes):
         buf = LOWER[np.frombuffer(b"".join(texts[i:j]), np.uint8)]
         starts, ends, first = word_spans(buf, sizes[i : j + 1] - sizes[i])
@@ -67,15 +68,16 @@ def fingerprints(texts: list[bytes], samples: int = SAMPLES) -> np.ndarray:
         most = int(weight.max()) + 1
         kinds, kind = np.unique(term * most + weight, return_inverse=True)
         ln_a = np.empty((len(kinds), samples), np.float32)
-        kept = np.empty((len(kinds), samples), np.uint16)
+        steps = np.empty((len(kinds), samples), np.float32)
         for s in range(0, len(kinds), DRAWN):
             some = kinds[s : s + DRAWN]
-            ln_a[s : s + DRAWN], kept[s : s + DRAWN] = draw(vocabulary[some // most], some % most, samples)
+            ln_a[s : s + DRAWN], steps[s : s + DRAWN] = draw(vocabulary[some // most], some % most, samples)
         bounds = np.searchsorted(doc, np.arange(j - i + 1))
-        column = np.arange(samples)
         for d in np.unique(doc).tolist():
             own = kind[bounds[d] : bounds[d + 1]]
-            out[i + d] = kept[own[ln_a[own].argmin(axis=0)], column]
+            best = own[ln_a[own].argmin(axis=0)]
+            t = steps[best, column].astype(np.int64).astype(np.uint64)
+            out[i + d] = mix(vocabulary[kinds[best] // most] ^ seeds ^ mix(t * np.uint64(0xE7037ED1A0B428DB))) >> np.uint64(48)
     return out
 
 
@@ -102,8 +104,9 @@ def compared(ids: list, texts: list[str], samples: int) -> list[tuple]:
     """Result rows for all of the texts but the last."""
     new = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
     raw = [t.encode() for t in new]
-    fp = fingerprints([t.encode() for t in texts], samples)
-    fe = fingerprints(raw, samples)
+    # a text beside its edited text, so that what they share is drawn once
+    both = fingerprints([x for pair in zip((t.encode() for t in texts), [*raw, b""], strict=True) for x in pair], samples)
+    fp, fe = both[::2], both[1::2]
     return [
         (ids[i], len(texts[i]), hashlib.sha256(raw[i]).hexdigest(), hexed(fp[i]), hexed(fe[i]), likeness(fp[i], fe[i]), likeness(fp[i], fp[i + 1]))
         for i in range(len(new))
