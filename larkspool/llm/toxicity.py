@@ -82,12 +82,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, orders=ORDERS,
     if not len(y) or y.min() == y.max():
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(size), np.zeros(size), float(np.log(p / (1 - p))), orders, bits)
-    lens = np.array([len(x) for x in rows])
-    idx, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), lens)
-    pos = np.bincount(idx, weights=y[doc], minlength=size) + 1
-    neg = np.bincount(idx, weights=1 - y[doc], minlength=size) + 1
+    pos, neg = np.ones(size), np.ones(size)
+    for f, label in zip(rows, y, strict=True):  # an n-gram is once in a row
+        (pos if label else neg)[f] += 1
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
     ratio[evidence(pos - 1, neg - 1, y.sum(), (1 - y).sum()) < EVIDENCE] = 0
+    rows = [f[ratio[f] != 0] for f in rows]
+    idx, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(f) for f in rows])
     norm = np.sqrt(np.bincount(doc, weights=ratio[idx] ** 2, minlength=len(rows))) + 1e-9
     x = SCALE * ratio[idx] / norm[doc]
     v, b = np.zeros(size), 0.0
