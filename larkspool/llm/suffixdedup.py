@@ -43,6 +43,8 @@ from .textops import RollingHash, blocks_for, chunks, column_bytes, extended, mi
 LENGTH = 200
 GRAM = 24
 BLOCK_BYTES = 8 << 20
+#: Bytes of segments whose suffixes are sorted together.
+BUCKET_BYTES = 2 << 20
 HOT_SEGMENTS = 20_000
 _POS = np.uint64((1 << 28) - 1)
 
@@ -105,8 +107,7 @@ def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
             active = active[wanted[active]]
         if not len(active):
             break
-        sort = np.lexsort((pointer[active + step], pointer[active]))
-        active = active[sort]
+        active = active[np.argsort(pointer[active] * (n + 1) + pointer[active + step])]
         old, later = pointer[active], pointer[active + step]
         bucket = np.append(True, old[1:] != old[:-1])
         first = bucket | np.append(True, later[1:] != later[:-1])
@@ -187,7 +188,7 @@ def repeated_spans(keyed: DataFrame, blocks: int, length: int, gram: int, hot_se
         return pa.table({"key": keys[seg], "start": low.astype(np.int64), "end": (low + b - a + length - 1).astype(np.int64)})
 
     spans = "key long, start long, end long"
-    bucket = F.pmod("gram", F.lit(blocks_for(total, BLOCK_BYTES)))
+    bucket = F.pmod("gram", F.lit(blocks_for(total, BUCKET_BYTES)))
     sorted_ = pieces.where(F.col("kinds") <= hot_segments).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(sort_bucket, spans)
     if (most or 0) > hot_segments:
 
