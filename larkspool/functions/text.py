@@ -82,15 +82,11 @@ def asr_loop(c: Column | str) -> Column:
     """One word three times in a row, whatever its case: the last word of one
     token, all of the next, the first word of the one after."""
     toks = F.split(F.lower(collapse(col(c))), " ")
-    parts = F.transform(toks, lambda t: F.struct(F.regexp_extract(t, f"({WORD}+)$", 1).alias("tail"), t.alias("all"), F.regexp_extract(t, f"^({WORD}+)", 1).alias("head")))
-    n = F.size(toks)
-    at = F.when(n >= 3, F.sequence(F.lit(1), n - 2))
-
-    def loop(i):
-        a, b, c = F.get(parts, i - 1), F.get(parts, i), F.get(parts, i + 1)
-        return (a["tail"] != "") & (a["tail"] == b["all"]) & (a["tail"] == c["head"])
-
-    return F.coalesce(F.exists(at, loop), F.lit(False))
+    tails = F.transform(toks, lambda t: F.regexp_extract(t, f"({WORD}+)$", 1))
+    heads = F.transform(toks, lambda t: F.regexp_extract(t, f"^({WORD}+)", 1))
+    # side by side, so that each token is looked at once
+    rows = F.arrays_zip(tails.alias("a"), F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1))).alias("b"), F.slice(heads, 3, F.greatest(F.size(toks), F.lit(1))).alias("c"))
+    return F.coalesce(F.exists(rows, lambda r: (r["a"] != "") & (r["a"] == r["b"]) & (r["a"] == r["c"])), F.lit(False))
 
 
 def char_rate(text: Column | str, duration: Column | str) -> Column:

@@ -34,7 +34,7 @@ def nearest_in_group(df: DataFrame, min_sim: float = 0.70, rows_per_part: int =
     rows = rows.join(counts, "channel").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     left = rows.select("channel", "part", every.alias("other"), "id", "source_id", "embedding")
-    right = rows.select("channel", every.alias("part"), F.col("part").alias("other"), "id", "source_id", "embedding")
+    right = rows.select(F.col("channel").alias("channel"), every.alias("part"), F.col("part").alias("other"), *(F.col(c).alias(c) for c in ("id", "source_id", "embedding")))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

@@ -5,6 +5,369 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from larkspool.functions import text as T
+from larkspool.functions import tokens as K
+from larkspool.functions import verbal
+from larkspool.operators import audit, hygiene, metrics, packing, pairing, prosody, select
+from larkspool.plans import oracles
+from larkspool.plans.fixtures import PAIRING, manifest, table, view
+from larkspool.schema import known, speaker_key
+from larkspool.streaming import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = oracles.SQL
+
+POLICY = hygiene.Policy(drop_reasons=("speaker_mismatch", "synthetic_suspect"))
+
+
+def query(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _judged(spark, sf_dir):
+    return hygiene.judged(manifest(spark, sf_dir), POLICY)
+
+
+@query
+def hygiene_report(spark, sf_dir):
+    return hygiene.report(_judged(spark, sf_dir))
+
+
+@query
+def hygiene_by_source(spark, sf_dir):
+    return hygiene.by_source(_judged(spark, sf_dir))
+
+
+@query
+def hygiene_kept(spark, sf_dir):
+    return hygiene.kept(_judged(spark, sf_dir), POLICY).select("id", "speaker_key", "frag_start", "frag_end", F.md5("text").alias("text_md5"))
+
+
+@query
+def hygiene_drop_fragments(spark, sf_dir):
+    policy = hygiene.Policy(**{**POLICY.__dict__, "fragments": "drop", "max_music_score": None})
+    return hygiene.report(hygiene.judged(manifest(spark, sf_dir), policy))
+
+
+@query
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text("text")).alias("text_md5"))
+
+
+@query
+def fragments(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.fragment_start("text").alias("frag_start"), T.fragment_end("text").alias("frag_end"))
+
+
+@query
+def asr_loop(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.asr_loop(T.clean_text("text")).alias("loop"))
+
+
+@query
+def text_measures(spark, sf_dir):
+    return manifest(spark, sf_dir).select("id", T.word_count("text").alias("words"), T.has_digits("text").alias("digits"), F.round(T.char_rate("text", "duration"), 6).alias("rate"), speaker_key().alias("speaker_key"))
+
+
+@query
+def parse_ids(spark, sf_dir):
+    made = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("clip-"), F.col("doc_id"))).otherwise(F.format_string("source-%x-%010d-%010d", F.col("doc_id"), F.col("n_chars"), F.col("n_chars") + 1500))
+    df = table(spark, sf_dir, "documents").select("doc_id", made.alias("clip"))
+    p = T.parse_clip_id("clip")
+    return df.select("doc_id", p["source"].alias("source"), p["start_ms"].alias("start_ms"), p["end_ms"].alias("end_ms"), T.recording_of(F.lit(None), "clip").alias("recording"))
+
+
+@query
+def cer(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7f]", "x"))  # DuckDB's distance counts bytes
+    return turns.select("conv_id", "turn", F.round(T.error_rate(F.translate("text", "ae.", "ea"), "text"), 9).alias("cer"))
+
+
+@query
+def verbalize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", verbal.verbalize("text").alias("spoken"))
+
+
+@query
+def verbalize_trace(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(verbal.trace("text")).alias("c")).select("doc_id", "c.rule", "c.matched", "c.reading")
+
+
+@query
+def prepare_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", verbal.prepare("text").alias("spoken"))
+
+
+@query
+def prosody_edges(spark, sf_dir):
+    return prosody.edges(manifest(spark, sf_dir)).select(F.explode(F.map_from_arrays(F.array(F.lit("rate"), F.lit("loud")), F.array("rate_edges", "loud_edges"))).alias("kind", "e")).select("kind", F.posexplode("e").alias("edge", "value"))
+
+
+@query
+def prosody_buckets(spark, sf_dir):
+    df = manifest(spark, sf_dir)
+    return prosody.bucketed(df, prosody.edges(df)).groupBy("rate_bucket", "loud_bucket").agg(F.count("*").alias("n"))
+
+
+@query
+def audit_findings(spark, sf_dir):
+    return audit.summary(manifest(spark, sf_dir)).select("rule", "severity", "n", "percent", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
+
+
+@query
+def audit_distributions(spark, sf_dir):
+    return audit.distributions(manifest(spark, sf_dir))
+
+
+@query
+def char_inventory(spark, sf_dir):
+    return audit.char_inventory(table(spark, sf_dir, "documents"))
+
+
+@query
+def leakage(spark, sf_dir):
+    df = manifest(spark, sf_dir)
+    return audit.leakage(df.where("source_split <> 'fr'"), df.where("source_split = 'fr'"))
+
+
+@query
+def exclude_anti_join(spark, sf_dir):
+    banned = table(spark, sf_dir, "benchmark").select(F.md5(F.lower(F.substring("text", 1, 8))).alias("k"))
+    docs = table(spark, sf_dir, "documents").withColumn("k", F.md5(F.lower(F.substring("text", 1, 8))))
+    return docs.join(banned, "k", "left_anti").select("doc_id", "n_chars")
+
+
+@query
+def ref_self_join(spark, sf_dir):
+    df = manifest(spark, sf_dir)
+    ref = df.select(F.col("id").alias("ref_id"), F.col("duration").alias("ref_duration"), F.col("channel").alias("ref_channel"))
+    out = df.where(known("ref_id").isNotNull()).join(ref, "ref_id", "left")
+    status = F.when(F.col("ref_duration").isNull(), "missing").when(F.col("ref_id") == F.col("id"), "self").otherwise("ok")
+    return out.select("id", "ref_id", F.round("ref_duration", 6).alias("ref_duration"), "ref_channel", status.alias("status"))
+
+
+@query
+def ref_closure(spark, sf_dir):
+    df = manifest(spark, sf_dir)
+    return select.with_references(df.where("quality_asr_cer < 0.015"), df).select("id", "added")
+
+
+@query
+def needed_files(spark, sf_dir):
+    df = manifest(spark, sf_dir)
+    return select.needed_files(df, df.where("quality_asr_cer < 0.015").select("id"))
+
+
+@query
+def nearest_in_group(spark, sf_dir):
+    return pairing.nearest_in_group(view(spark, sf_dir, PAIRING), min_sim=0.25)
+
+
+@query
+def pairing_report(spark, sf_dir):
+    df = view(spark, sf_dir, PAIRING)
+    return pairing.pairing_report(pairing.nearest_in_group(df, min_sim=0.25), df)
+
+
+def _clean_pool(spark, sf_dir):
+    df = _judged(spark, sf_dir).drop("drop_reason", "text_fixed")
+    floors = df.agg(F.percentile("quality_dnsmos_ovrl", F.lit(0.1)).alias("dnsmos_floor"), F.percentile("quality_speech_ratio", F.lit(0.1)).alias("speech_floor"))
+    return df.drop("frag_start", "frag_end").crossJoin(F.broadcast(floors)).withColumns({"frag_start": F.lit(False), "frag_end": F.lit(False)}).withColumn("reason", select.subset_reason(min_sec=2.0, max_sec=400.0, max_clip=0.02, max_music=0.6))
+
+
+@query
+def subset_reasons(spark, sf_dir):
+    return _clean_pool(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _subset(spark, sf_dir):
+    pool = _clean_pool(spark, sf_dir).where("reason is null")
+    return select.round_robin(prosody.bucketed(pool), 20000.0, seed=7)
+
+
+@query
+def subset_round_robin(spark, sf_dir):
+    return _subset(spark, sf_dir).select("id", "rate_bucket", "loud_bucket", F.col("pick").cast("long").alias("pick"))
+
+
+@query
+def subset_report(spark, sf_dir):
+    return _subset(spark, sf_dir).groupBy("rate_bucket", "loud_bucket").agg(F.round(F.sum("duration") / 3600, 4).alias("hours"), F.countDistinct("speaker_key").alias("speakers"), F.count("*").alias("n"))
+
+
+@query
+def hour_budget_greedy(spark, sf_dir):
+    return select.hour_budget(manifest(spark, sf_dir).select("id", "duration"), 30000.0, seed=3).select("id")
+
+
+@query
+def export_selection(spark, sf_dir):
+    df = _judged(spark, sf_dir).drop("drop_reason", "text_fixed").withColumn("src", F.col("source_id"))
+    out = select.pick_reference(df, max_ref_sec=150.0, seed=5)
+    reason = select.export_reason(1.0, 300.0, allow_fragments=True)
+    return out.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.round(F.sum("duration") / 3600, 3).alias("hours"))
+
+
+@query
+def evaluation_set(spark, sf_dir):
+    df = manifest(spark, sf_dir).withColumn("duration", F.col("duration") / 20)
+    return select.evaluation_set(df, df.where("review_reasons is not null"), 40, 25, seed=11).select("kind", "id", "has_digits", "ref_id")
+
+
+@query
+def split_counts(spark, sf_dir):
+    return manifest(spark, sf_dir).where(F.col("source_split").isin("de", "es", "fr")).groupBy("source_split").agg(F.count("*").alias("n"))
+
+
+@query
+def last_row_per_id(spark, sf_dir):
+    from larkspool.sources.read import last_by_id
+
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn", "role", F.md5("text").alias("text_md5"))
+    return last_by_id(turns, "turn", "role", "text_md5")
+
+
+def _codes(spark, sf_dir):
+    """Codec levels that follow from the id, 1 + id % 4 frames; one source has none."""
+    docs = table(spark, sf_dir, "documents").where("source <> 'src7'").select(F.col("doc_id").alias("id"))
+    n = (F.col("id") % 4 + 1).cast("int")
+
+    def level(k):
+        return F.transform(F.sequence(F.lit(0), n * k - 1), lambda t: ((F.col("id") * 7 + t * 31 + k) % 4096).cast("int"))
+
+    return docs.select("id", level(1).alias("l0"), level(2).alias("l1"), level(4).alias("l2"))
+
+
+def _joined(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query
+def flatten_codes(spark, sf_dir):
+    return _codes(spark, sf_dir).select("id", _joined(K.flatten_codes("l0", "l1", "l2")).alias("codes"))
+
+
+@query
+def unflatten_codes(spark, sf_dir):
+    flat = _codes(spark, sf_dir).select("id", F.transform(K.flatten_codes("l0", "l1", "l2"), lambda x: x + F.when(F.col("id") % 9 == 0, 5000).otherwise(0)).alias("f"))
+    u = K.unflatten_codes(F.concat("f", K.ints(1, 2)))
+    return flat.select("id", *(_joined(u[k]).alias(k) for k in ("l0", "l1", "l2")))
+
+
+@query
+def remap_codes(spark, sf_dir):
+    codes = _codes(spark, sf_dir).select("id", F.flatten(F.transform("l0", lambda x: F.array(*(((x + s) % 4096) + s * 4096 for s in range(7))))).alias("c"))
+    return codes.select("id", _joined(K.slots_to_levels("c")).alias("codes"))
+
+
+def _sequences(spark, sf_dir):
+    df = manifest(spark, sf_dir)
+    marked = prosody.bucketed(df.withColumns({"frag_start": T.fragment_start("text"), "frag_end": T.fragment_end("text")}))
+    ids = F.transform(F.sequence(F.lit(0), (F.col("id") % 5).cast("int")), lambda t: ((F.col("id") * 13 + t * 17) % 4096).cast("int"))
+    rows = packing.with_controls(marked.withColumn("text_ids", ids), seed=9)
+    codes = _codes(spark, sf_dir).select("id", K.flatten_codes("l0", "l1", "l2").alias("codes"))
+    return packing.sequences(rows, codes, max_len=60)
+
+
+@query
+def build_prompt(spark, sf_dir):
+    s = _sequences(spark, sf_dir).where("status = 'ok'")
+    return s.select("id", "kind", "label_start", _joined(F.slice("tokens", 1, F.col("label_start"))).alias("prompt"))
+
+
+@query
+def pack_offsets(spark, sf_dir):
+    return packing.index(_sequences(spark, sf_dir)).select("id", "kind", "length", "label_start", "times", F.col("offset").cast("long").alias("offset"))
+
+
+@query
+def pack_stats(spark, sf_dir):
+    return packing.stats(_sequences(spark, sf_dir))
+
+
+@query
+def packed_problems(spark, sf_dir):
+    s = _sequences(spark, sf_dir).where("status = 'ok'")
+    broken = F.when(F.col("id") % 10 == 3, F.slice("tokens", 1, F.col("length") - 2)).otherwise(F.col("tokens"))
+    return s.groupBy(F.coalesce(K.packed_problem(broken), F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query
+def collate_batch(spark, sf_dir):
+    s = _sequences(spark, sf_dir).where("status = 'ok' and kind = 'plain'")
+    c = K.collated("tokens", "label_start", F.lit(64))
+    return s.select("id", _joined(c["labels"]).alias("labels"), F.aggregate(c["attention_mask"], F.lit(0), lambda a, x: a + x).alias("mask"), F.size(c["input_ids"]).alias("width"))
+
+
+@query
+def token_budget_batches(spark, sf_dir):
+    lengths = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 2300 + 300).alias("length"))
+    return packing.token_budget_batches(lengths, 20480, seed=1, longest=2599)
+
+
+@query
+def seconds_budget_batches(spark, sf_dir):
+    rows = packing.shard_numbers(manifest(spark, sf_dir).select("id", "duration"), 256)
+    return packing.seconds_budget_batches(rows, 2000.0)
+
+
+@query
+def control_dropout(spark, sf_dir):
+    rows = packing.with_controls(prosody.bucketed(manifest(spark, sf_dir)), seed=9)
+    return rows.groupBy("rate_token", "loud_token").agg(F.count("*").alias("n"))
+
+
+@query
+def eval_summary(spark, sf_dir):
+    m = manifest(spark, sf_dir)
+    rows = m.select(
+        F.when(F.col("id") % 3 == 0, "clone").otherwise("plain").alias("kind"),
+        T.has_digits("text").alias("has_digits"),
+        (F.col("id") % 90).alias("n_tokens"),
+        F.when(F.col("id") % 8 != 0, F.col("quality_asr_cer")).alias("cer"),
+        F.when(F.col("id") % 3 == 0, F.col("quality_speaker_cosine")).alias("spk_cos"),
+        F.col("quality_dnsmos_ovrl").alias("dnsmos_ovrl"),
+        F.col("duration").alias("dur_sec"),
+    )
+    return metrics.evaluation_summary(rows)
+
+
+@query
+def heldout_turn(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    step = (F.floor(F.col("event_id") % 12) * 500).cast("long")
+    rows = e.select(F.concat(F.lit("checkpoint-"), step.cast("string")).alias("checkpoint"), step.alias("step"), (F.abs("value") % 7 + (step - 2500) * (step - 2500) / 5e6).alias("nll"), F.lit(1).alias("tokens"))
+    return metrics.heldout_loss(rows)
+
+
+@query
+def quality_floor(spark, sf_dir):
+    return select.quality_floor(manifest(spark, sf_dir), "quality_dnsmos_ovrl", 20)
+
+
+@query
+def reason_algebra(spark, sf_dir):
+    from larkspool.schema import reasons
+
+    raw = F.when(F.col("doc_id") % 4 == 0, F.lit('["a", "c"]')).when(F.col("doc_id") % 4 == 1, F.lit("b")).when(F.col("doc_id") % 4 == 2, F.lit(""))
+    r = reasons(raw)
+    drop = F.array(F.lit("a"), F.lit("b"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.sort_array(F.array_intersect(r, drop)), ",").alias("hit"), F.array_join(F.sort_array(F.array_union(F.array_except(drop, r), F.array(F.lit("z")))), ",").alias("rest"))
+
+
+@query
+def event_dedup_stream(spark, sf_dir):
+    """The stream's result, run to its end over the files that are there."""
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = f"{top.rstrip('/')}/larkspool-stream-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")
+    ingest.run_available(ingest.distinct_keys(stream.select("user_id", "event_type"), ["user_id", "event_type"]), f"{base}/out", f"{base}/state")
+    return spark.read.schema("user_id long, event_type string").parquet(f"{base}/out")

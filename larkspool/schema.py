@@ -26,10 +26,14 @@ def known(c: Column | str) -> Column:
 
 
 def number(c: Column | str) -> Column:
-    """As a double; what is no plain number, and NaN, is null."""
-    s = F.trim(known(c))
-    ok = s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.when(ok, s.try_cast("double"))
+    """As a double; what is no plain number, and NaN, is null. Columns that are
+    numbers already aren't parsed (the type test folds away)."""
+    x = col(c)
+    numeric = F.typeof(x).isin("double", "float", "int", "bigint", "smallint", "tinyint") | F.typeof(x).startswith("decimal")
+    direct = x.try_cast("double")
+    s = F.trim(known(x))
+    parsed = F.when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
+    return F.when(numeric, F.when(~F.isnan(direct), direct)).otherwise(parsed)
 
 
 def speaker_key(speaker: Column | str = "speaker_id", channel: Column | str = "channel") -> Column:
