@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textops import LOWER, RollingHash, chunks, mix, narrow, stored, word_spans
+from .textops import LOWER, RollingHash, batch_slices, chunks, mix, narrow, stored, word_spans
 
 SAMPLES = 64
 #: (term, weight) pairs whose samples are drawn at a time.
@@ -133,7 +133,7 @@ def against_next(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
             extra = [pa.array([edge] * n, pa.string()), pa.array([part] * n, pa.int32()), pa.array([text] * n, pa.string())]
             return pa.RecordBatch.from_arrays([*arrays, *extra], [*_NAMES, "edge", "part", "edge_text"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, 1)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if ids and not seen:
                 seen = True

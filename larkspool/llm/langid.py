@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textops import RollingHash, characters, code_point_keys, extended, fold, narrow, text_chunks
+from .textops import RollingHash, batch_slices, characters, code_point_keys, extended, fold, narrow, text_chunks
 
 ORDER = 4
 PER_LANG = 300
@@ -231,7 +231,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, at)):
             cols = list(zip(*shared.value.predict(batch.column(at).to_pylist()), strict=True)) or [[]] * 3
             new = [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score", "accepted"])

@@ -33,7 +33,6 @@ an output column (kept, n_bytes, n_removed, n_spans, spans), which are replaced.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -215,9 +214,10 @@ def repeated_spans(keyed: DataFrame, blocks: int, length: int, gram: int, hot_se
     return whole.unionByName(sorted_)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS, as_text: bool = False) -> DataFrame:
     """docs plus kept (bytes that stay), n_bytes, n_removed, n_spans, and spans
-    (start and end of each maximal removed run)."""
+    (start and end of each maximal removed run). as_text: kept is text; what a cut
+    leaves of a character is dropped."""
     gram = min(gram, length)
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "spans")
     blocks = blocks_for(text_bytes(docs), BLOCK_BYTES)
@@ -248,9 +248,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
             kept.append(b"".join(data[i:j].tobytes() for i, j in cuts.tolist()))
             removed.append(int((b - a).sum()))
             lists.append([{"start": i, "end": j} for i, j in zip(a.tolist(), b.tolist(), strict=True)])
-        return pa.table({"rest": docs.column("rest"), "text": docs.column("text"), "kept": pa.array(kept, pa.binary()), "n_bytes": np.diff(offs), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+        return pa.table({"rest": docs.column("rest"), "text": docs.column("text"), "kept": pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), "n_bytes": np.diff(offs), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
-    schema = extended(keyed.select("rest", "text"), kept="binary", n_bytes="long", n_removed="long", spans="array<struct<start: long, end: long>>")
+    schema = extended(keyed.select("rest", "text"), kept="string" if as_text else "binary", n_bytes="long", n_removed="long", spans="array<struct<start: long, end: long>>")
     out = keyed.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(apply, schema)
     cols = [F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in payload]
     return out.select(*cols, "kept", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans")
@@ -259,19 +259,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with the repeats cut out of text (n_chars, if there, counts anew). A
     character that a cut leaves in part is dropped; a null text stays null."""
-    out = remove_repeats(docs, **options)
-    text = F.when(F.col("text").isNotNull(), F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.pandas_udf(_decoded, "string")("kept")))
-    out = out.withColumn("text", text)
+    out = remove_repeats(docs, as_text=True, **options)
+    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
-def _decoded(data: pd.Series) -> pd.Series:
-    """UTF-8 bytes as text without what isn't valid."""
-    return data.map(lambda b: b.decode("utf-8", "ignore"))
-
-
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(narrow(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

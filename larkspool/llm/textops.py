@@ -108,6 +108,14 @@ def chunks(offs: np.ndarray, limit: int = CHUNK_BYTES):
         i = j
 
 
+def batch_slices(batch: pa.RecordBatch, at: int, limit: int = CHUNK_BYTES):
+    """The batch in slices of about limit bytes of the text column at that index,
+    so that Python strings are made for few rows at a time."""
+    _, offs = column_bytes(batch.column(at))
+    for i, j in chunks(offs, limit):
+        yield batch.slice(i, j - i)
+
+
 def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words ([^\\x20\\x09-\\x0D]+, never across documents): starts, ends and
     the index of the first word of each document (len(offs) entries)."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import RollingHash, characters, code_point_keys, extended, fold, narrow, text_chunks
+from .textops import RollingHash, batch_slices, characters, code_point_keys, extended, fold, narrow, text_chunks
 
 ORDERS = (4, 5)
 BITS = 18
@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, orders
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, 2)):
             rows = [x.astype(np.int32).tobytes() for x in features(batch.column(2).to_pylist(), orders, bits)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "toxic", "f"])
 
@@ -135,7 +135,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, at)):
             s = shared.value.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, name])
 
