@@ -8,9 +8,10 @@ annihilator, so a pair within r bits agrees on some mask: no such pair is lost.
 
 Fingerprints are made distinct first. Each table's bucket is then one masked
 value. A bucket larger than `bucket_rows` is split again by a second family of
-masks over the same bits (a pair within r agrees on one of those, too), as often
-as needed up to the whole fingerprint, so no bucket is held by one task and none
-is cut. In a bucket the links' spanning forest is kept (star edges), never all
+masks over the same bits (a pair within r agrees on one of those, too). A bucket
+that is still larger is dense: it is cut by a hash into parts, and each pair of
+parts is compared in a task of its own, so no bucket is held by one task and no
+pair is left out. In a bucket the links' spanning forest is kept (star edges), never all
 pairs; components follow from label propagation with pointer jumping.
 
 Defined cases: a text without words (null, empty, white space) has fingerprint
@@ -128,6 +129,13 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS,
             b.append(np.array(roots, np.uint64))
         return pa.table({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
 
+    if depth and most > bucket_rows:
+        parts = F.when(F.col("n") > bucket_rows, F.ceil(F.col("n") * 2 / bucket_rows)).otherwise(1).cast("int")
+        total, most = counted.agg(F.sum(F.col("n") * parts)).first()[0], 0
+        rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        rows = rows.select("fp", name, "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        pair = F.xxhash64(name, F.least("part", "other"), F.greatest("part", "other"))
+        rows = rows.select("fp", pair.alias(name), F.lit(1).alias("n"))
     group = F.pmod(F.col(name), F.lit(max(1, -(-total // 20000))))
     out = rows.where(F.col("n") <= bucket_rows).select(name, "fp", group.alias("g")).groupBy("g").applyInArrow(lambda t: run(t.select([name, "fp"])), "a long, b long")
     if most > bucket_rows:
