@@ -151,7 +151,8 @@ def repeated_spans(keyed: DataFrame, blocks: int, length: int, gram: int, hot_se
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "content", "key", "low", "n"])
 
     found = narrow(keyed, "key", "text").mapInArrow(scan, "gram long, content long, key long, low int, n int")
-    again = found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    # stored, so that the join's shuffle is its own and a hot q-gram's rows can be split
+    again = stored(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
     found = stored(found.join(again, "gram", "left_semi"))
     kinds = found.groupBy("gram", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "low", "n")).alias("one"))
     open_ = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").drop("least")
