@@ -168,7 +168,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
     rows = stored(fingerprint_rows(docs, words))
     roots = components(links(rows.select("fp").distinct(), radius, bucket_rows))
     named = rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # stored, so that the join's shuffle is its own and a hot component's rows can be split
+    ids = stored(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return named.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
