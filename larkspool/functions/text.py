@@ -21,6 +21,7 @@ DASHES = "‐‑‒–—―−"
 #: White space as Python's str methods see it.
 WHITE = r"(?U)[\s\x1c-\x1f\x85]+"
 WORD = r"[\p{L}\p{N}_]"
+MAYBE_LOOP = r"(?iuU)(?<!" + WORD + ")(" + WORD + r"+)(?:\s+\1(?!" + WORD + r")){2}"
 LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
 
 
@@ -86,7 +87,9 @@ def asr_loop(c: Column | str) -> Column:
     heads = F.transform(toks, lambda t: F.regexp_extract(t, f"^({WORD}+)", 1))
     # side by side, so that each token is looked at once
     rows = F.arrays_zip(tails.alias("a"), F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1))).alias("b"), F.slice(heads, 3, F.greatest(F.size(toks), F.lit(1))).alias("c"))
-    return F.coalesce(F.exists(rows, lambda r: (r["a"] != "") & (r["a"] == r["b"]) & (r["a"] == r["c"])), F.lit(False))
+    exact = F.exists(rows, lambda r: (r["a"] != "") & (r["a"] == r["b"]) & (r["a"] == r["c"]))
+    # Java's back-reference also takes ı for i, so it only says which rows to look at
+    return F.when(col(c).rlike(MAYBE_LOOP), F.coalesce(exact, F.lit(False))).otherwise(F.lit(False))
 
 
 def char_rate(text: Column | str, duration: Column | str) -> Column:
