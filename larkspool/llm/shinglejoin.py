@@ -1,0 +1,190 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles.
+
+A text is the set of its lower-cased runs of `words` words (a shorter text is one
+run). All pairs of sets with a Jaccard similarity of at least `percent` are found
+by prefix filtering: in any one order of the shingles, two such sets share one of
+their first n - ceil(n * percent / 100) + 1. Rare shingles come first; the counts
+that order them are a sketch of fixed size, which may be coarse without a loss,
+since any order that is the same for all sets will do. Candidates are confirmed on
+the whole sets.
+
+Equal sets are one node. Of the sets that share a shingle of their prefixes, up to
+`bucket` are compared pairwise. In a larger bucket all are compared with a
+few of them (stars), and what is still apart is compared pairwise at the end, so a
+group of near copies makes no square of pairs and no pair is left out.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .simhash import components, keep_rows
+from .textops import LOWER, RollingHash, chunks, column_bytes, mix, narrow, stored, word_spans
+
+WORDS = 5
+PERCENT = 80
+BUCKET = 32
+#: Rounds of stars in the larger buckets.
+HUBS = 3
+SLOTS = 1 << 16
+#: Text bytes handled at a time: a shingle takes several numbers of eight bytes.
+SLICE = 1 << 19
+
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each document, ascending, and offsets."""
+    buf = LOWER[buf]
+    starts, ends, first = word_spans(buf, offs)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+    own = RollingHash(buf).span(starts, ends)
+    n = np.diff(first)
+    count = np.where(n == 0, 0, np.maximum(n - words + 1, 1))
+    doc = np.repeat(np.arange(len(n)), count)
+    head = np.repeat(first[:-1], count) + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
+    h = np.zeros(len(doc), np.uint64)
+    for i in range(words):
+        at = head + i
+        inside = at < first[doc + 1]
+        h[inside] = mix(h[inside] * _MUL + own[at[inside]])
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
+    return h[new], np.searchsorted(doc[new], np.arange(len(offs)))
+
+
+def _names(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A hash of each set; zero for an empty one."""
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(mix(h), dtype=np.uint64))
+    n = np.diff(offs).astype(np.uint64)
+    return np.where(n > 0, mix((sums[offs[1:]] - sums[offs[:-1]]) + n * _MUL), np.uint64(0)).view(np.int64)
+
+
+def _sets(col: pa.Array, words: int):
+    """(i, j, hashes, offsets) for slices i:j of a text column."""
+    buf, offs = column_bytes(col)
+    for i, j in chunks(offs, SLICE):
+        yield (i, j, *shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words))
+
+
+def _counts(docs: DataFrame, words: int) -> np.ndarray:
+    """How many shingles of all texts fall in each slot of the sketch."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, h, _ in _sets(batch.column(0), words):
+                total += np.bincount((h % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    rows = narrow(docs, "text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
+
+
+def _named(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, the text's hash and the name of its set, for every row."""
+
+    def run(batches):
+        for batch in batches:
+            s = [_names(h, o) for _, _, h, o in _sets(batch.column(2), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(s) if s else np.zeros(0, np.int64))], ["doc_id", "t", "s"])
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("t"), docs["text"]).mapInArrow(run, "doc_id long, t long, s long")
+
+
+def _prefixes(docs: DataFrame, counts, words: int, percent: int) -> DataFrame:
+    """token, s, n (shingles of the set), at (the token's place in its order)."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, h, offs in _sets(batch.column(0), words):
+                if not len(h):
+                    continue
+                n = np.diff(offs)
+                doc = np.repeat(np.arange(len(n)), n)
+                often = counts.value[(h % np.uint64(SLOTS)).astype(np.int64)]
+                order = np.lexsort((h, often, doc))
+                at = np.arange(len(h)) - offs[doc]
+                first = at < (n - -(-n * percent // 100) + 1)[doc]
+                cols = (h[order][first].view(np.int64), _names(h, offs)[doc][first], n[doc][first].astype(np.int32), at[first].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "s", "n", "at"])
+
+    return narrow(docs, "text").mapInArrow(run, "token long, s long, n int, at int")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left = sets.select(F.col("s").alias("a"), F.col("h").alias("x"))
+    right = sets.select(F.col("s").alias("b"), F.col("h").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) of set names that span the similar pairs."""
+    counts = docs.sparkSession.sparkContext.broadcast(_counts(docs, words))
+    raw = _prefixes(docs, counts, words, percent)
+    shared = raw.groupBy("token").agg(F.min("s").alias("low"), F.max("s").alias("top")).where("low < top").select("token")
+    live = stored(raw.join(shared, "token").distinct())
+    sizes = stored(live.groupBy("token").agg(F.count("*").alias("g")))
+
+    def run(batches):
+        for batch in batches:
+            for _, _, h, offs in _sets(batch.column(0), words):
+                rows = [h[i:j].tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(_names(h, offs)), pa.array(rows, pa.binary())], ["s", "h"])
+
+    wanted = stored(live.select("s").distinct())
+    sets = stored(narrow(docs, "text").mapInArrow(run, "s long, h binary").join(wanted, "s", "left_semi").dropDuplicates(["s"]))
+
+    # the first token that two sets share leaves min(n - at) for all that they share
+    near = lambda l, r: (100 + percent) * F.least(F.col(f"{l}.n") - F.col(f"{l}.at"), F.col(f"{r}.n") - F.col(f"{r}.at")) >= percent * (F.col(f"{l}.n") + F.col(f"{r}.n"))  # noqa: E731, E741
+
+    def pairs(l: DataFrame, r: DataFrame, where) -> DataFrame:  # noqa: E741
+        both = l.alias("l").join(r.alias("r"), "token").where(near("l", "r") & where)
+        return both.select(F.least("l.s", "r.s").alias("a"), F.greatest("l.s", "r.s").alias("b")).distinct()
+
+    few = live.join(sizes.where(F.col("g") <= bucket).select("token"), "token")
+    many = live.join(sizes.where(F.col("g") > bucket).select("token"), "token")
+    found = stored(_confirmed(pairs(few, few, F.col("l.s") < F.col("r.s")), sets, percent))
+    apart = stored(many.withColumn("c", F.col("s"))) if sizes.where(F.col("g") > bucket).limit(1).count() else None
+    for k in range(HUBS if apart is not None else 0):
+        # few hubs for all tokens of a group, so that a pair is seldom asked for twice
+        hub = F.xxhash64("s", F.pmod("token", F.lit(4)), F.lit(k))
+        hubs = apart.join(apart.groupBy("token").agg(F.min(hub).alias("hub")), "token").where(hub == F.col("hub"))
+        found = stored(found.unionByName(_confirmed(pairs(apart, hubs, F.col("l.c") != F.col("r.c")), sets, percent)))
+        roots = components(found).select(F.col("node").alias("s"), F.col("root").alias("c"))
+        named = apart.drop("c").join(roots, "s", "left").withColumn("c", F.coalesce("c", "s"))
+        mixed = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+        apart = stored(named.join(mixed, "token"))
+    if apart is not None:
+        rest = pairs(apart, apart, (F.col("l.s") < F.col("r.s")) & (F.col("l.c") != F.col("r.c")))
+        found = stored(found.unionByName(_confirmed(rest, sets, percent)))
+    return found
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
+    """docs with one row of each component of similar texts: the one of the least
+    doc_id (rows without an id count as the largest). Texts without a word are
+    one set. All columns are kept."""
+    rows = stored(_named(docs, words))
+    roots = components(links(docs, words, percent, bucket))
+    named = rows.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").select("doc_id", "t", F.coalesce("root", "s").alias("root"))
+    return keep_rows(docs, named)

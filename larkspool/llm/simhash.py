@@ -173,6 +173,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
     return named.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """One row of docs for each root in named (doc_id, t, root), t the text's
+    xxhash64: that of the least doc_id, null ids last. A row is known by its id and
+    text together, so other texts under the same id, or under no id, stay."""
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("m"))
+    keep = first.select(F.col("m.doc_id").alias("_keep"), F.col("m.t").alias("_t"))
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_semi")
+    repeated = named.groupBy("doc_id", "t").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest
     doc_id stays (rows without an id

@@ -61,3 +61,40 @@ def test_stages_keep_columns(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, frame, str(tmp_path))
             assert out.columns == docs.columns and out.count() == frame.count()
+
+
+def edited(text, gaps, seed):
+    """The text with a word replaced after each of the gaps."""
+    w, at = text.split(), seed % 7
+    for k, gap in enumerate(gaps):
+        at += gap
+        w[at] = f"q{seed}x{k}"
+    return " ".join(w)
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (B.words_of(a), B.words_of(b)))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_stage_finds_edited_copies(spark, tmp_path):
+    base = [B.prose(150, 3000 + i) for i in range(12)]
+    texts = base + [edited(t, gaps, i) for i, t in enumerate(base) for gaps in ([70], [30, 40], [40, 40, 40])]
+    texts += [edited(base[0], [60], 100 + i) for i in range(50)]  # more than a bucket
+    texts += ["", None, "a b", "A  b", "a b c"]
+    near = [[jaccard(a, b) >= 0.8 for b in texts] for a in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[j] for j in range(len(texts)) if near[i][j]) for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert got == set(root) and len(got) < len(texts) - 70
+    # the copies are further apart than op2's radius
+    assert sum((B.naive_simhash(texts[12 + k]) ^ B.naive_simhash(base[k // 3])).bit_count() > 4 for k in range(36)) > 5
+
+
+def test_stage_keeps_other_texts_of_an_id(spark, tmp_path):
+    a, b, c = (B.prose(40, 4000 + i) for i in range(3))
+    docs = spark.createDataFrame([(None, a), (None, b), (7, c), (7, a), (7, c), (8, c)], "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(None, b), (7, c), (7, a)], key=repr)
