@@ -5,7 +5,7 @@ typed placeholders, other words are lower-cased and stripped of punctuation. A
 name is a capitalised word that does not begin a sentence; a unit is a known unit
 word after a number. Windows of `window` template words of the benchmark (an item
 with fewer words is one window) are hash-joined with the documents' windows. A
-document holds an item if, along one alignment, the windows found cover at least
+document holds an item if, along one alignment (words may come in or go), the windows found cover at least
 `similarity` of the item's words and the slots agree: within the alignment each value of
 a slot in the item stands for one value in the document and the other way round,
 so numbers or names may differ, but must be replaced consistently.
@@ -21,6 +21,7 @@ by one; an empty benchmark finds nothing; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -46,7 +47,11 @@ _STOP[[ord(c) for c in ".!?:"]] = True
 _UNIT_KEYS = np.sort(np.array([hash_bytes(u.encode()) for u in UNITS], np.uint64))
 
 
-def templates(buf: np.ndarray, offs: np.ndarray):
+#: STRICT takes each name or number for a slot; OPEN a run of them for one.
+READINGS = STRICT, OPEN = range(2)
+
+
+def templates(buf: np.ndarray, offs: np.ndarray, reading: int = STRICT):
     """(template hash, surface hash, first) of the words of each document: the
     first is NUM, NAME, UNIT or the word's own hash, the second always the
     word's own; document d has the words first[d]:first[d+1]. Words without a
@@ -82,7 +87,16 @@ def templates(buf: np.ndarray, offs: np.ndarray):
     unit = after & isin_sorted(surface, _UNIT_KEYS)[1]
     out = surface.copy()
     out[name], out[number], out[unit] = NAME, NUM, UNIT
-    return out, surface, first
+    return _joined(out, surface, first, begin) if reading == OPEN else (out, surface, first)
+
+
+def _joined(out: np.ndarray, surface: np.ndarray, first: np.ndarray, begin: np.ndarray):
+    """Each run of names or of numbers within a sentence as one word."""
+    more = np.append(False, (out[1:] == out[:-1]) & ((out[1:] == NAME) | (out[1:] == NUM))) & ~begin
+    head = np.flatnonzero(~more)
+    nth = np.arange(len(out)) - head[np.cumsum(~more) - 1]
+    value = np.where(nth > 0, mix(surface + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), surface)
+    return out[head], np.add.reduceat(value, head), np.searchsorted(head, first)
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -99,14 +113,14 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """The windows of a block of items, by hash."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        self.window = window
+    def __init__(self, items: list[tuple[int, str]], window: int, reading: int = STRICT):
+        self.window, self.reading = window, reading
         self.ids, self.words, self.surface = [], [], []
         short: dict[int, list] = defaultdict(list)
         hashes, where = [], []
         for item, text in items:
             buf = np.frombuffer((text or "").encode(), np.uint8)
-            words, surface, _ = templates(buf, np.array([0, len(buf)]))
+            words, surface, _ = templates(buf, np.array([0, len(buf)]), reading)
             if not len(words):
                 continue
             k = len(self.ids)
@@ -133,8 +147,8 @@ class Index:
         return keys, np.append(start, len(order)), np.array(where, np.int64)[order]
 
     def hits(self, words: np.ndarray, surface: np.ndarray, first: np.ndarray, similarity: float):
-        """(document, item id, words covered, words) of the items held."""
-        votes: dict[tuple[int, int, int], set] = defaultdict(set)
+        """(document, place of the item in ids, words covered, words) of the items held."""
+        votes: dict[tuple[int, int], dict[int, set]] = defaultdict(lambda: defaultdict(set))
         for n, (keys, start, where) in self.tables.items():
             h = window_hashes(words, n)
             at, found = isin_sorted(h, keys)
@@ -143,16 +157,29 @@ class Index:
             inside = pos + n <= first[doc + 1]  # no window crosses documents
             for p, d, a in zip(pos[inside].tolist(), doc[inside].tolist(), at[pos[inside]].tolist(), strict=True):
                 for k, q in where[start[a] : start[a + 1]].tolist():
-                    votes[d, k, p - q].add(q)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for (d, k, shift), qs in votes.items():
+                    votes[d, k][p - q].add(q)
+        out = []
+        for (d, k), shifts in sorted(votes.items()):
             total = len(self.words[k])
-            covered = {q + j for q in qs for j in range(min(self.window, total))}
-            if len(covered) >= similarity * total and self._consistent(k, covered, surface, shift):
-                best[d, k] = max(best.get((d, k), (0, total)), (len(covered), total))
-        return [(d, self.ids[k], m, total) for (d, k), (m, total) in sorted(best.items())]
+            least, n = similarity * total, min(self.window, total)
+            if len({q + j for qs in shifts.values() for q in qs for j in range(n)}) < least:
+                continue
+            m = max((self._held(k, [(shift + q, q) for q in qs], n, least, surface) for shift, qs in shifts.items()), default=0)
+            slack = int((1 - similarity) * total) + 1
+            for shift in [] if m or len(shifts) < 2 else sorted(shifts):  # the occurrence's first shift, words come in or go after it
+                near = [(x + q, q) for x in shifts if abs(x - shift) <= slack for q in shifts[x]]
+                m = max(m, self._held(k, _chain(near), n, least, surface))
+            if m:
+                out.append((d, k, m, total))
+        return out
+
+    def _held(self, k: int, pairs: list, n: int, least: float, surface: np.ndarray) -> int:
+        """How many words the windows (place in the text, place in the item)
+        cover, if that is enough and the slots agree; else 0."""
+        covered = {q + j: p + j for p, q in pairs for j in range(n)}
+        return len(covered) if len(covered) >= least and self._consistent(k, covered, surface) else 0
 
-    def _consistent(self, k: int, covered: set, surface: np.ndarray, shift: int) -> bool:
+    def _consistent(self, k: int, covered: dict, surface: np.ndarray) -> bool:
         """Whether the slots map one to one, and some word is no slot."""
         there, back, plain = {}, {}, False
         for i in sorted(covered):
@@ -160,12 +187,26 @@ class Index:
             if kind not in (NUM, NAME, UNIT):
                 plain = True
                 continue
-            a, b = (kind, self.surface[k][i]), surface[shift + i]
+            a, b = (kind, self.surface[k][i]), surface[covered[i]]
             if there.setdefault(a, b) != b or back.setdefault((kind, b), a) != a:
                 return False
         return plain
 
 
+def _chain(pairs: list) -> list:
+    """The longest chain of pairs that ascends in both places."""
+    tops, last, before = [], [], {}
+    for p, q in sorted(pairs, key=lambda x: (x[1], -x[0])):
+        i = bisect_left(tops, p)
+        before[p, q] = last[i - 1] if i else None
+        tops[i : i + 1], last[i : i + 1] = [p], [(p, q)]
+    out, at = [], last[-1] if last else None
+    while at:
+        out.append(at)
+        at = before[at]
+    return out[::-1]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, item_id, covered, words: one row per document and item it holds."""
     spark = docs.sparkSession
@@ -173,7 +214,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
     rows = narrow(docs, "doc_id", "text")
 
     def search(items):
-        shared = spark.sparkContext.broadcast(Index(items, window))  # at most block_windows windows
+        shared = spark.sparkContext.broadcast([Index(items, window, r) for r in READINGS])  # at most block_windows windows each
 
         def run(batches):
             for batch in batches:
@@ -181,8 +222,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
                 buf, offs = column_bytes(batch.column(1))
                 out = []
                 for i, j in chunks(offs):
-                    words, surface, first = templates(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                    out += [(ids[i + d], item, m, total) for d, item, m, total in shared.value.hits(words, surface, first, similarity)]
+                    held = {}
+                    for index in shared.value:
+                        words, surface, first = templates(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], index.reading)
+                        for d, n, m, total in index.hits(words, surface, first, similarity):
+                            held.setdefault((d, n), (m, total))
+                    out += [(ids[i + d], index.ids[n], m, total) for (d, n), (m, total) in sorted(held.items())]
                 cols = list(zip(*out, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "covered", "words"])
 

@@ -377,3 +377,13 @@ def test_decontamination(spark):
     left = decontam.drop_contaminated(docs, bench)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {11, 12, 13, 14, 16, 17}
     assert decontam.contaminated(docs, empty(bench)).count() == 0 and decontam.contaminated(empty(docs), bench).count() == 0
+
+
+def test_decontamination_over_a_gap(spark):
+    w = prose(59, 4100).split()
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, f"we met Paris {prose(6, 4101)} Paris {prose(6, 4102)}")], "item_id long, text string")
+    texts = {1: [*w[:30], "zzz", *w[30:]], 2: [*w[:20], *w[21:]], 3: [*w[30:], *w[:30]]}
+    docs = [(i, f"{prose(20, 4200 + i)} {' '.join(t)} {prose(20, 4300 + i)}") for i, t in texts.items()]
+    docs += [(4, f"we met New York {prose(6, 4101)} New York {prose(6, 4102)}"), (5, f"we met New York {prose(6, 4101)} San Juan {prose(6, 4102)}")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (4, 2)} and len(got) == 3
