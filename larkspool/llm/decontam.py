@@ -47,8 +47,10 @@ _STOP[[ord(c) for c in ".!?:"]] = True
 _UNIT_KEYS = np.sort(np.array([hash_bytes(u.encode()) for u in UNITS], np.uint64))
 
 
-#: STRICT takes each name or number for a slot; OPEN a run of them for one.
-READINGS = STRICT, OPEN = range(2)
+#: How capitalised words are read: STRICT takes them for names inside a sentence
+#: only; OPEN at its beginning, too, and a run of names or numbers is one slot;
+#: PLAIN knows no names, so case doesn't matter.
+READINGS = STRICT, OPEN, PLAIN = range(3)
 
 
 def templates(buf: np.ndarray, offs: np.ndarray, reading: int = STRICT):
@@ -81,7 +83,7 @@ def templates(buf: np.ndarray, offs: np.ndarray, reading: int = STRICT):
     digits = np.concatenate([[0], np.cumsum(_DIGIT[clean])])
     number = _DIGIT[head] & (digits[e] - digits[s] >= (e - s + 1) // 2)
     upper = (head >= 65) & (head <= 90) | (head == 0xC3) & (nxt >= 0x80) & (nxt <= 0x9E) & (nxt != 0x97)
-    name = upper & ~begin
+    name = upper & ~begin if reading == STRICT else upper & (reading == OPEN)
     after = np.append(False, number[:-1])
     after[first[:-1][first[:-1] < len(after)]] = False
     unit = after & isin_sorted(surface, _UNIT_KEYS)[1]

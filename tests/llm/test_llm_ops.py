@@ -387,3 +387,11 @@ def test_decontamination_over_a_gap(spark):
     docs += [(4, f"we met New York {prose(6, 4101)} New York {prose(6, 4102)}"), (5, f"we met New York {prose(6, 4101)} San Juan {prose(6, 4102)}")]
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (4, 2)} and len(got) == 3
+
+
+def test_decontamination_first_names(spark):
+    item = "Tom has 3 red apples. Tom sells 2 big baskets. How many does Tom keep?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [(1, item.replace("Tom", "Ann")), (2, item.upper()), (3, item.lower()), (4, "Ann has 3 red apples. Bob sells 2 big baskets. How many does Eve keep?")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3} and len(got) == 3
