@@ -315,9 +315,14 @@ def packed_sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None
     return narrow(docs, "doc_id", "text").mapInArrow(run, SEQUENCES)
 
 
+def write_sequences(docs: DataFrame, out: str, **options) -> None:
+    """The packed rows with both matrices as Parquet in the folder out."""
+    packed_sequences(docs, **options).write.option("compression", "zstd").parquet(out)
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packed_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("sequence_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
+    return out.withColumns({"ids_crc32": F.crc32("input_ids"), "positions_crc32": F.crc32("position_ids")})
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

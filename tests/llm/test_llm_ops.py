@@ -395,3 +395,14 @@ def test_decontamination_first_names(spark):
     docs = [(1, item.replace("Tom", "Ann")), (2, item.upper()), (3, item.lower()), (4, "Ann has 3 red apples. Bob sells 2 big baskets. How many does Eve keep?")]
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert {r.doc_id for r in got} == {1, 2, 3} and len(got) == 3
+
+
+def test_token_binary_returns_the_matrices(spark, tmp_path):
+    docs = spark.createDataFrame([(i, prose(400, 4400 + i)) for i in range(20)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op3_token_binary(spark, str(tmp_path)).collect()
+    for r in got:
+        assert len(r.input_ids) == len(r.position_ids) == 4 * packing.CAPACITY
+        assert (zlib.crc32(r.input_ids), zlib.crc32(r.position_ids)) == (r.ids_crc32, r.positions_crc32)
+    packing.write_sequences(docs, f"{tmp_path}/out")
+    assert sorted(bytes(r.input_ids) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(bytes(r.input_ids) for r in got)
