@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +81,7 @@ class Histogram:
         for length, n in counts.items():
             self.left[length] += n
         self.plan: list[tuple[tuple[int, ...], int]] = []
+        self.used = 0
 
     def take(self, combo: tuple[int, ...]) -> int:
         """Consume the combination as often as its members are there."""
@@ -92,56 +93,96 @@ class Histogram:
             for x, k in need.items():
                 self.left[x] -= times * k
             self.plan.append((combo, times))
+            self.used += times
         return times
 
+    def fill(self, a: int, fills: Callable[[int], np.ndarray]) -> None:
+        """Consume what fills the gap beside length a, which is the longest."""
+        if not self.left[a]:
+            return
+        for members in fills(self.capacity - a).tolist():
+            if members[0] <= a and all(self.left[x] for x in members):
+                self.take((a, *members))
+                if not self.left[a]:
+                    return
+
+
+#: Lengths whose exact fills are consumed, and judged, together.
+STRIDE = 16
+
+
+class SumIndex:
+    """Sums of one, two and three available lengths, and the members they have.
+
+    Pairs lie in one array sorted by their sum, with the place of each sum. A
+    triple's sum is found as that of its shortest member and of a pair. Members
+    that are used up are left out when a sum is looked up."""
+
+    def __init__(self, left: np.ndarray, capacity: int):
+        self.left = left
+        have = np.flatnonzero(left[:capacity])
+        x, y = (m.ravel() for m in np.meshgrid(have, have, indexing="ij"))
+        ok = (x >= y) & (x + y < capacity)
+        x, y = x[ok], y[ok]
+        order = np.lexsort((x, x + y))  # within a sum the most even pair comes first
+        self.longer, sums = x[order], (x + y)[order]
+        self.at = np.searchsorted(sums, np.arange(capacity + 2))
+
+    def single(self, total: int) -> np.ndarray:
+        return np.array([[total]] if self.left[total] else np.zeros((0, 1)), np.int64)
+
+    def pairs(self, total: int) -> np.ndarray:
+        x = self.longer[self.at[total] : self.at[total + 1]]
+        x = x[(self.left[x] > 0) & (self.left[total - x] > 0)]
+        return np.stack([x, total - x], axis=1)
+
+    def triples(self, total: int) -> np.ndarray:
+        """The most even first: by the shortest member, longest first."""
+        out = []
+        for z in np.flatnonzero(self.left[: total // 3 + 1])[::-1].tolist():
+            two = self.pairs(total - z)
+            two = two[two[:, 1] >= z]
+            out.append(np.append(two, np.full((len(two), 1), z), axis=1))
+        return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+
 
 def exact_complement_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) that use up all counts.
 
-    Longest length first, its gap is filled exactly by a single length, a pair or
-    a triple, found through an index from sums to members; each combination is
-    consumed as often as the availability counts allow. What no combination
-    fills goes to best fit: longest first into the fullest sequence that holds it.
-    Exact fills can use up short lengths that best fit would have needed, so the
-    plan is made with fills of up to one, two and three members, in either order
-    of trial, and the one with the fewest sequences is taken.
+    The gap beside each length is looked up in an index of the sums of one, two
+    and three lengths, and combinations that fill it exactly are consumed as often
+    as the availability counts allow, longest length first, the most even
+    combination first, so that short lengths last. A single complement is always
+    right. Pairs and triples can use up lengths that the rest would need to fill
+    its gaps: those of STRIDE neighbouring lengths are consumed and then given
+    back if best fit of what is left would make the whole larger. The residuals
+    go to best fit: longest first into the fullest sequence that holds it.
     """
-    plans = [_plan(counts, capacity, most, long_first) for most in (0, 1, 2, 3) for long_first in (True, False)[: 1 + (most > 1)]]
-    return min(plans, key=lambda p: sum(n for _, n in p))
-
-
-def _plan(counts: dict[int, int], capacity: int, most: int, long_first: bool) -> list[tuple[tuple[int, ...], int]]:
     h = Histogram(counts, capacity)
-    for a in range(capacity, 0, -1):
-        if h.left[a] and a == capacity:
-            h.take((a,))
-        elif most and h.left[a] and capacity - a <= a:
-            h.take((a, capacity - a))
-    for a in range(capacity - 1, 0, -1) if most > 1 else ():
-        gap = capacity - a
-        for fills in (_pairs, _triples)[: most - 1]:
-            while h.left[a]:
-                found = sorted(fills(h.left, gap, min(gap - 1, a)), reverse=long_first)
-                if not sum(h.take((a, *x)) for x in found):
-                    break
+    h.take((capacity,))
+    index = SumIndex(h.left, capacity)
+    for a in range(capacity - 1, (capacity - 1) // 2, -1):
+        for (x,) in index.single(capacity - a).tolist():
+            h.take((a, x))
+    least = h.used + _sequences(h.left, capacity)
+    for fills in (index.pairs, index.triples):
+        for top in range(capacity - 1, 0, -STRIDE):
+            kept, done, used = h.left.copy(), len(h.plan), h.used
+            for a in range(top, max(top - STRIDE, 0), -1):
+                h.fill(a, fills)
+            if h.used == used:
+                continue
+            now = h.used + _sequences(h.left, capacity)
+            if now <= least:
+                least = now
+            else:
+                h.left[:], h.used = kept, used
+                del h.plan[done:]
     return h.plan + _best_fit(h.left, capacity)
 
 
-def _pairs(left: np.ndarray, gap: int, longest: int) -> list[tuple[int, int]]:
-    """Pairs of available lengths that sum to the gap."""
-    b = np.arange((gap + 1) // 2, longest + 1)
-    b = b[(left[b] > 0) & (left[gap - b] > 0)] if len(b) else b
-    return [(x, gap - x) for x in b.tolist()]
-
-
-def _triples(left: np.ndarray, gap: int, longest: int) -> list[tuple[int, int, int]]:
-    """Triples of available lengths that sum to the gap, longest member first."""
-    have = np.flatnonzero(left[: longest + 1])
-    x, y = np.meshgrid(have, have, indexing="ij")
-    z = gap - x - y
-    ok = (x >= y) & (z >= 1) & (z <= y)
-    ok[ok] = left[z[ok]] > 0
-    return list(zip(x[ok].tolist(), y[ok].tolist(), z[ok].tolist(), strict=True))
+def _sequences(left: np.ndarray, capacity: int) -> int:
+    return sum(n for _, n in _best_fit(left, capacity))
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
