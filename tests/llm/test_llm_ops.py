@@ -60,7 +60,8 @@ def test_prefix_sums(spark):
 def test_lm(spark, order):
     df, rows = corpus(spark)
     df = df.withColumn("tr", F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 7 != 2)
-    got = lm.score(df, F.col("tr"), order=order, mu=3.0, block_bytes=3000, bucket_bytes=4000).collect()
+    mu = (3.0, 2.0)
+    got = lm.score(df, F.col("tr"), order=order, mu=mu, block_bytes=3000, bucket_bytes=4000).collect()
     trained = [zlib.crc32(str(r[0]).encode()) % 7 != 2 if r[0] is not None else True for r in rows]
     toks = [[*words_of(r[1]), "</s>"] for r in rows]
     count = collections.Counter()
@@ -84,7 +85,7 @@ def test_lm(spark, order):
             p = (count[(padded[i],)] - d if count[(padded[i],)] else d * v) / n
             for k in range(2, order + 1):
                 g = tuple(padded[i - k + 1 : i + 1])
-                p = (count[g] + 3.0 * p) / (context(g[:-1]) + 3.0)
+                p = (count[g] + mu[k - 2] * p) / (context(g[:-1]) + mu[k - 2])
             s += math.log10(p)
         base = sum(math.log10((count[(w,)] + 1) / (n + v + 1)) for w in t)
         want.append((r[0], len(t), sum(count[(w,)] > 0 for w in t), n, round(base, 6), round(s, 6)))
@@ -95,7 +96,40 @@ def test_lm(spark, order):
 
 def test_lm_packing_of_hashes():
     for keys in (np.sort(np.random.default_rng(0).integers(0, 2**64, 2000, np.uint64)), np.array([1, 2**63], np.uint64), np.zeros(0, np.uint64), np.array([5], np.uint64)):
-        assert (lm.unpacked(lm.packed(keys), len(keys)) == keys).all()
+        assert (lm.unpacked(lm.packed(keys)) == keys).all()
+
+
+def test_lm_automaton():
+    """States, arcs and failure arcs of a hand-made text; long texts are walked in stretches."""
+    words = np.array([5, 6, 5, 6, 7, int(lm.END)], np.uint64)
+    first = np.array([0, 6])
+    found = lm.grams(words, first, 2)
+    totals = [np.array([(g == x).sum() for x in g]) for g in found]
+    a = lm.Automaton(found, totals, first, 1, (6, 4, 2, 2), (1.0,))
+    five, six = (int(np.flatnonzero(a.hash == np.uint64(x))[0]) for x in (5, 6))
+    assert a.fail[five] == a.fail[six] == 0 and np.isclose(a.back[five], np.log10(1 / 3))
+    state, weight = a.step(np.array([five, six, 0]), np.array([6, 6, 9], np.uint64))
+    d = 2 / 6
+    p6 = (2 - d) / 6
+    assert state.tolist() == [six, six, 0]
+    assert np.allclose(weight, [np.log10((2 + p6) / 3), np.log10(1 / 3) + np.log10(p6), np.log10(d * 4 / 6)])
+    r = np.random.default_rng(1)
+    words = r.integers(10, 60, 3000).astype(np.uint64)
+    words[-1] = lm.END
+    first = np.array([0, 1, 1000, 3000])
+    words[[0, 999]] = lm.END
+    found = lm.grams(words, first, 3)
+    totals = []
+    for g in found:
+        u, inv, n = np.unique(g, return_inverse=True, return_counts=True)
+        totals.append(n[inv] * (u[inv] % np.uint64(3) > 0) if g is found[2] else n[inv])
+    a = lm.Automaton(found, totals, first, 3, (3000, 51, 0, 0), (4.0, 2.0))
+    for i, total in enumerate(a.walk(words, first)):
+        s, t = np.array([a.start]), 0.0
+        for w in words[first[i] : first[i + 1]]:
+            s, x = a.step(s, np.array([w]))
+            t += float(x[0])
+        assert np.isclose(t, total)
 
 
 def naive_simhash(t):
@@ -250,6 +284,32 @@ def test_plans_use_all_and_beat_bounds(seed):
             used[x] += times
     assert used == collections.Counter(lengths)
     assert sum(t for _, t in plan) <= len(packing.best_fit_decreasing(np.array(lengths), 100))
+    for members in (2, 3, 4):  # exact complements of one, two and three lengths are consumed
+        assert any(len(combo) == members and sum(combo) == 100 for combo, _ in plan)
+
+
+def test_sum_index():
+    left = np.zeros(31, np.int64)
+    left[[2, 3, 5, 7, 11, 20]] = 1, 2, 1, 1, 3, 1
+    index = packing.SumIndex(left, 30)
+    have = np.flatnonzero(left).tolist()
+    for total in range(1, 30):
+        assert {tuple(x) for x in index.pairs(total).tolist()} == {(a, b) for a in have for b in have if a >= b and a + b == total}
+        assert {tuple(x) for x in index.triples(total).tolist()} == {(a, b, c) for a in have for b in have for c in have if a >= b >= c and a + b + c == total}
+    left[5] = 0
+    assert not any(5 in x for x in index.triples(15).tolist())
+
+
+def test_plan_spares_what_the_rest_needs():
+    """Greedy triples would cost sequences here; they are given back, and the plan isn't best fit alone."""
+    r = random.Random(12)
+    lengths = [r.randint(1, 400) for _ in range(400)] + [r.randint(300, 700) for _ in range(200)]
+    plan = packing.exact_complement_plan(collections.Counter(lengths), 1024)
+    h = packing.Histogram(collections.Counter(lengths), 1024)
+    alone = packing._best_fit(h.left, 1024)
+    assert sum(t for _, t in plan) <= sum(t for _, t in alone)
+    exact = [sum(t for c, t in p if sum(c) == 1024 and len(c) > 2) for p in (plan, alone)]
+    assert exact[0] > exact[1]
 
 
 def test_segment_tree_is_best_fit():
