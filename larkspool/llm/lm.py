@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ from .textops import LOWER, RollingHash, blocks_for, chunks, column_bytes, fold,
 ORDER = 3
 #: The weight of the shorter context, by order from two words on.
 MU = (200.0, 5.0)
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 6 << 20
 #: Text bytes whose n-grams are summed in one hash range.
 BUCKET_BYTES = 24 << 20
 SLICES = 64
@@ -95,19 +96,20 @@ def grams(words: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def packed(keys: np.ndarray) -> bytes:
-    """Sorted hashes as differences of so few bytes as hold the largest, byte by
-    byte: the width leads, then the first."""
+    """Sorted hashes, compressed, as differences of so few bytes as hold the largest,
+    byte by byte: the width leads, then the first."""
     if not len(keys):
         return b""
     d = np.diff(keys)
     width = (int(d.max()).bit_length() + 7) // 8 if len(d) else 0
     planes = np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + planes.tobytes()
+    return zstandard.compress(bytes([width]) + keys[:1].astype("<u8").tobytes() + planes.tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint64)
+    data = zstandard.decompress(data)
     width = data[0]
     n = (len(data) - 9) // width if width else 0
     d = np.zeros((n + 1, 8), np.uint8)
@@ -117,12 +119,13 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Counts in the narrowest type that holds them; its width leads."""
+    """Counts, compressed, in the narrowest type that holds them; its width leads."""
     kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(x) or x.max() <= np.iinfo(t).max)
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+    return zstandard.compress(bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes(), 1)
 
 
 def _counts(data: bytes) -> np.ndarray:
+    data = zstandard.decompress(data)
     return np.frombuffer(data[1:], {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[data[0]]).astype(np.int64)
 
 
