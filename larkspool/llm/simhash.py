@@ -29,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import LOWER, chunks, column_bytes, narrow, stored, word_spans
+from .textops import LOWER, chunks, column_bytes, narrow, spread_lookup, stored, word_spans
 
 WORDS = 4
 RADIUS = 4
 BUCKET_ROWS = 20_000
+#: Shingles hashed at a time.
+SHINGLES = 1 << 17
 SEED = 42
 
 
@@ -52,16 +54,19 @@ def simhashes(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> np.ndarr
     data = flat.tobytes()
     n = np.diff(first)
     count = np.where(n == 0, 0, np.maximum(n - words + 1, 1))
-    head = np.repeat(first[:-1], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-    tail = np.minimum(head + words, np.repeat(first[1:], count))
+    upto = np.concatenate([[0], np.cumsum(count)])
+    ones = np.zeros((len(count), 64), np.int64)
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(data[s:e], SEED) for s, e in zip(to[head].tolist(), (to[tail] - 1).tolist(), strict=True)], np.uint64)
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    have = np.flatnonzero(count)
-    at = (np.cumsum(count) - count)[have]
-    ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-    out[have] = np.packbits(2 * ones > count[have, None], axis=1).view(">u8").ravel()
-    return out
+    for low in range(0, int(upto[-1]), SHINGLES):  # a stretch of shingles at a time, as a text may be of any length
+        at = np.arange(low, min(low + SHINGLES, int(upto[-1])))
+        doc = np.searchsorted(upto, at, "right") - 1
+        head = first[doc] + at - upto[doc]
+        tail = np.minimum(head + words, first[doc + 1])
+        h = np.array([digest(data[s:e], SEED) for s, e in zip(to[head].tolist(), (to[tail] - 1).tolist(), strict=True)], np.uint64)
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        ones[doc[new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > count[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def masks(radius: int, seed: int, bits: int = 64) -> list[int]:
@@ -166,11 +171,14 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
     rows = stored(fingerprint_rows(docs, words))
-    roots = components(links(rows.select("fp").distinct(), radius, bucket_rows))
-    named = rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
-    # stored, so that the join's shuffle is its own and a hot component's rows can be split
-    ids = stored(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    return named.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    kinds = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(kinds.select("fp"), radius, bucket_rows))
+    kinds = kinds.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = kinds.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a component may have any share of the fingerprints, a fingerprint any share of the rows
+    named = stored(spread_lookup(kinds.select("fp", "root"), least, ["root"], F.col("fp")).select("fp", "component_id"))
+    out = spread_lookup(rows, named, ["fp"], F.col("doc_id"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
@@ -184,17 +192,5 @@ def keep_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest
-    doc_id stays (rows without an id
-    count as the largest). An id is taken to name one document, so of rows that
-    share an id one stays. All columns are kept."""
-    found = near_duplicates(docs, **options)
-    keep = found.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

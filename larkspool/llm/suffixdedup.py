@@ -20,9 +20,13 @@ each length/2 bytes of text). Then:
    in one bucket in the end are equal.
 
 A q-gram with more than `hot_segments` different segments isn't given to one
-task: its windows' hashes are counted with a map-side combine instead.
+task. Its initial buckets are those of the whole windows instead, q being
+`length`, so that nothing is left to refine: windows are counted by 128 bits of
+hashes, with a map-side combine.
 
 Segments are told apart by 128 bits of hashes, windows in step 3 by their bytes.
+Where many rows share a q-gram, a segment or a window, they are salted before they
+are joined. A text longer than a chunk is gone through in overlapping pieces.
 
 Defined cases: a null text is empty; texts shorter than `length` lose nothing;
 repeated rows are repeats of each other, so lose all bytes if long enough; an
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import RollingHash, blocks_for, chunks, column_bytes, extended, mix, narrow, stored, text_bytes
+from .textops import CHUNK_BYTES, RollingHash, blocks_for, chunks, column_bytes, extended, mix, narrow, spread_lookup, stored, text_bytes
 
 LENGTH = 200
 GRAM = 24
@@ -81,6 +85,18 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
     return doc, grams[at], content, low - offs[doc], high - low + 1
 
 
+def all_segments(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
+    """segments() of a chunk of documents; one document longer than a chunk is
+    gone through in pieces that overlap by all of a window but a byte."""
+    if len(offs) > 2 or len(buf) <= 2 * CHUNK_BYTES:
+        yield segments(buf, offs, length, gram)
+        return
+    for a in range(0, len(buf), CHUNK_BYTES):
+        part = buf[a : a + CHUNK_BYTES + length - 1]
+        doc, g, s, low, n = segments(part, np.array([0, len(part)]), length, gram)
+        yield doc, g, s, low + a, n
+
+
 def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Whether the string of `length` bytes at each start is at another start,
     too: bucket-pointer refinement of the text's suffixes to that depth."""
@@ -146,9 +162,9 @@ def repeated_spans(keyed: DataFrame, blocks: int, length: int, gram: int, hot_se
             keys = batch.column(0).to_numpy()
             buf, offs = column_bytes(batch.column(1))
             for i, j in chunks(offs):
-                doc, g, s, low, n = segments(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram)
-                cols = [g.view(np.int64), s.view(np.int64), keys[i + doc], low.astype(np.int32), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "content", "key", "low", "n"])
+                for doc, g, s, low, n in all_segments(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram):
+                    cols = [g.view(np.int64), s.view(np.int64), keys[i + doc], low.astype(np.int32), n.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "content", "key", "low", "n"])
 
     found = narrow(keyed, "key", "text").mapInArrow(scan, "gram long, content long, key long, low int, n int")
     # stored, so that the join's shuffle is its own and a hot q-gram's rows can be split
@@ -156,7 +172,8 @@ def repeated_spans(keyed: DataFrame, blocks: int, length: int, gram: int, hot_se
     found = stored(found.join(again, "gram", "left_semi"))
     kinds = found.groupBy("gram", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "low", "n")).alias("one"))
     open_ = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").drop("least")
-    asked = stored(kinds.join(open_, "gram").select("gram", "copies", "one.key", "one.low", "one.n", "kinds").withColumn("block", F.pmod("key", F.lit(blocks))))
+    asked = spread_lookup(kinds, open_, ["gram"], F.col("content")).select("gram", "copies", "one.key", "one.low", "one.n", "kinds")
+    asked = stored(asked.withColumn("block", F.pmod("key", F.lit(blocks))))
     total, most = asked.agg(F.sum(F.col("n") + length), F.max("kinds")).first()
 
     def cut(docs: pa.Table, ask: pa.Table) -> pa.Table:
@@ -194,24 +211,27 @@ def repeated_spans(keyed: DataFrame, blocks: int, length: int, gram: int, hot_se
 
         def explode(batches):
             for batch in batches:
-                grams, copies, keys, lows = (batch.column(i).to_numpy() for i in range(4))
+                _, copies, keys, lows = (batch.column(i).to_numpy() for i in range(4))
                 buf, offs = column_bytes(batch.column(4))
                 for i, j in chunks(offs):
                     part, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                     at = np.flatnonzero(np.arange(len(part)) + length <= np.repeat(o[1:], np.diff(o)))
                     seg = np.searchsorted(o, at, "right") - 1
-                    h = RollingHash(part).span(at, at + length)
-                    cols = [grams[i + seg], copies[i + seg], keys[i + seg], (lows[i + seg] + at - o[seg]).astype(np.int64), h.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "copies", "key", "start", "window"])
+                    roll = RollingHash(part)
+                    h = roll.span(at, at + length)
+                    half = mix(roll.span(at, at + length // 2) ^ h)  # other bits of the same window
+                    cols = [copies[i + seg], keys[i + seg], (lows[i + seg] + at - o[seg]).astype(np.int64), h.view(np.int64), half.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["copies", "key", "start", "window", "half"])
 
+        # the q-gram is made as long as the window: such a bucket has no later offset to be refined by
         hot = pieces.where(F.col("kinds") > hot_segments).select("gram", "copies", "key", "low", "bytes")
-        windows = hot.mapInArrow(explode, "gram long, copies long, key long, start long, window long")
-        twice = windows.groupBy("gram", "window").agg(F.count("*").alias("c")).where("c > 1").select("gram", "window")
-        repeats = windows.where("copies = 1").join(twice, ["gram", "window"], "left_semi")
+        windows = hot.mapInArrow(explode, "copies long, key long, start long, window long, half long")
+        twice = windows.groupBy("window", "half").agg(F.count("*").alias("c")).where("c > 1").select("window", "half")
+        repeats = spread_lookup(windows.where("copies = 1"), twice, ["window", "half"], F.col("key"), "left_semi")
         sorted_ = sorted_.unionByName(repeats.select("key", "start", (F.col("start") + length).alias("end")))
     whole = kinds.where("copies > 1").select("gram", "content")
     low = F.col("low").cast("long")
-    whole = found.join(whole, ["gram", "content"], "left_semi").select("key", low.alias("start"), (low + F.col("n") + (length - 1)).alias("end"))
+    whole = spread_lookup(found, whole, ["gram", "content"], F.col("key"), "left_semi").select("key", low.alias("start"), (low + F.col("n") + (length - 1)).alias("end"))
     return whole.unionByName(sorted_)
 
 

@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,16 +177,32 @@ def _forget() -> None:
             pass
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a folder of our own
+    serves a local master only; on a cluster that is an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster sees")
+    return (top or "/tmp/checkpoints").rstrip("/")
+
+
+def spread_lookup(rows: DataFrame, table: DataFrame, keys: list[str], salt: Column, how: str = "inner", parts: int = 512) -> DataFrame:
+    """rows joined with table, which has one row for each key. A key may have any
+    share of the rows: they are salted, the pairs of key and salt that occur meet
+    the table first (so many for a key at most), and then the rows meet the pairs."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
+    pairs = salted.select(*keys, "_salt").distinct().join(table, keys, "inner" if how == "left_semi" else how)
+    return salted.join(pairs, [*keys, "_salt"], how).drop("_salt")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the folder of spark.checkpoint.dir and read back.
 
     This cuts the lineage and survives lost executors, since the files are in
-    the folder that the cluster shares. A folder of our own is used only where
-    the setting is absent, as in tests. The files go when the driver exits.
+    the folder that the cluster shares. The files go when the driver exits.
     """
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{top.rstrip('/')}/larkspool-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/larkspool-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_forget)

@@ -168,8 +168,6 @@ def test_simhash(spark, bucket_rows):
     fps = [naive_simhash(r[1]) for r in rows]
     want = zip((r[0] for r in rows), (f"{f:016x}" for f in fps), naive_components(fps, [r[0] for r in rows], 4), strict=True)
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
-    kept = simhash.one_of_each(df)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {c for c in naive_components(fps, [r[0] for r in rows], 4)}
     assert simhash.near_duplicates(empty(df)).count() == 0
 
 
@@ -409,6 +407,11 @@ def test_kneser_ney_sums_to_one():
         assert abs(sum(p) - 1) < 0.05  # the rest is the unknown character's
 
 
+def placed(df, **options):
+    cols = ["doc_id", "text", "shard", "slot"]
+    return collections.Counter(map(tuple, sharding.shuffle_shards(df, shards=5, bucket_bytes=4000, **options).select(cols).collect()))
+
+
 def test_sharding(spark):
     df, rows = corpus(spark)
     out = sharding.shuffle_shards(df, shards=5, bucket_bytes=4000)
@@ -422,6 +425,40 @@ def test_sharding(spark):
     assert sharding.shuffle_shards(empty(df)).count() == 0
 
 
+def test_sharding_is_repeatable(spark):
+    """Equal results for any partitioning of input and shuffles."""
+    rows = [(i, prose(30, i)) for i in range(150)] + [(7, "again")] * 60 + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("b"), F.col("doc_id"), F.lit("a"), F.lit(1)))
+    want = placed(df, alike=20)
+    assert sum(want.values()) == len(rows) and set(sharding.shuffle_shards(df).columns) == {"doc_id", "text", "m", "shard", "slot"}
+    assert len({s for d, _, s, _ in want if d == 7}) == 5
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for n, adaptive in ((4, "false"), (9, "true"), (211, "false")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            assert placed(df.repartition(n), alike=20) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_sharding_writes_slots_in_order(spark, tmp_path):
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(i, prose(20, i)) for i in range(200)], "doc_id long, text string")
+    sharding.write_shards(df, f"{tmp_path}/out", shards=3)
+    held = 0
+    for shard in range(3):
+        files = sorted(pathlib.Path(f"{tmp_path}/out/shard={shard}").glob("*.parquet"))
+        slots = [s for f in files for s in pq.ParquetFile(f).read().column("slot").to_pylist()]
+        assert slots == list(range(len(slots)))
+        held += len(slots)
+    assert held == 200
+
+
 def test_decontamination(spark):
     items = [(1, "How many apples did Maria buy for 12 dollars if she paid 12 dollars twice?"), (2, "short item"), (3, None), (4, ""), (5, "12 Maria 13"), (1, "How many apples did Maria buy for 12 dollars if she paid 12 dollars twice?")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("found", F.lit(1))
