@@ -210,17 +210,18 @@ def _chain(pairs: list) -> list:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """doc_id, item_id, covered, words: one row per document and item it holds."""
+    """doc_id, item_id, covered, words, and t, the text's xxhash64: one row per
+    document and item it holds."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, covered int, words int"
-    rows = narrow(docs, "doc_id", "text")
+    schema = "doc_id long, item_id long, covered int, words int, t long"
+    rows = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("t"))
 
     def search(items):
         shared = spark.sparkContext.broadcast([Index(items, window, r) for r in READINGS])  # at most block_windows windows each
 
         def run(batches):
             for batch in batches:
-                ids = batch.column(0).to_pylist()
+                ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 buf, offs = column_bytes(batch.column(1))
                 out = []
                 for i, j in chunks(offs):
@@ -229,9 +230,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
                         words, surface, first = templates(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], index.reading)
                         for d, n, m, total in index.hits(words, surface, first, similarity):
                             held.setdefault((d, n), (m, total))
-                    out += [(ids[i + d], index.ids[n], m, total) for (d, n), (m, total) in sorted(held.items())]
-                cols = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "covered", "words"])
+                    out += [(ids[i + d], index.ids[n], m, total, hashes[i + d]) for (d, n), (m, total) in sorted(held.items())]
+                cols = list(zip(*out, strict=True)) or [[]] * 5
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "covered", "words", "t"])
 
         return rows.mapInArrow(run, schema)
 
@@ -249,10 +251,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold an item of the benchmark; all columns stay."""
-    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_held")), "left_anti")
+    """docs without those that hold an item of the benchmark; all columns stay. A
+    row is known by its id and text together, so other texts of an id stay."""
+    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_held"), F.col("t").alias("_t")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_held")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("t")

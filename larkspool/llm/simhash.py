@@ -23,6 +23,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -53,16 +55,28 @@ def simhashes(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> np.ndarr
     flat[np.repeat(to[:-1], lens) + (np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens))] = buf[np.repeat(starts, lens) + (np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens))]
     data = flat.tobytes()
     n = np.diff(first)
-    count = np.where(n == 0, 0, np.maximum(n - words + 1, 1))
-    upto = np.concatenate([[0], np.cumsum(count)])
-    ones = np.zeros((len(count), 64), np.int64)
+    upto = np.concatenate([[0], np.cumsum(np.where(n == 0, 0, np.maximum(n - words + 1, 1)))])
     digest = xxhash.xxh64_intdigest
-    for low in range(0, int(upto[-1]), SHINGLES):  # a stretch of shingles at a time, as a text may be of any length
-        at = np.arange(low, min(low + SHINGLES, int(upto[-1])))
+
+    def hashes(at: np.ndarray) -> np.ndarray:
         doc = np.searchsorted(upto, at, "right") - 1
         head = first[doc] + at - upto[doc]
         tail = np.minimum(head + words, first[doc + 1])
-        h = np.array([digest(data[s:e], SEED) for s, e in zip(to[head].tolist(), (to[tail] - 1).tolist(), strict=True)], np.uint64)
+        return np.array([digest(data[s:e], SEED) for s, e in zip(to[head].tolist(), (to[tail] - 1).tolist(), strict=True)], np.uint64)
+
+    return majority(hashes, upto)
+
+
+def majority(hashes: np.ndarray | Callable[[np.ndarray], np.ndarray], upto: np.ndarray) -> np.ndarray:
+    """For each document the bits set in over half of its hashes: those at
+    upto[d]:upto[d+1], given whole or by place. A text may have any number of them,
+    so they are taken a stretch at a time."""
+    count = np.diff(upto)
+    ones = np.zeros((len(count), 64), np.int64)
+    for low in range(0, int(upto[-1]), SHINGLES):
+        at = np.arange(low, min(low + SHINGLES, int(upto[-1])))
+        doc = np.searchsorted(upto, at, "right") - 1
+        h = hashes(at) if callable(hashes) else hashes[at]
         bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         ones[doc[new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int64)
@@ -181,14 +195,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_rows(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """One row of docs for each root in named (doc_id, t, root), t the text's
-    xxhash64: that of the least doc_id, null ids last. A row is known by its id and
-    text together, so other texts under the same id, or under no id, stay."""
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("m"))
-    keep = first.select(F.col("m.doc_id").alias("_keep"), F.col("m.t").alias("_t"))
+def keep_rows(docs: DataFrame, keep: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs whose id and text are in keep (doc_id, t: the text's
+    xxhash64), one of each. A row is known by its id and text together, so other
+    texts under the same id, or under no id, are other rows. rows: doc_id and t of
+    all of docs."""
+    keep = keep.select(F.col("doc_id").alias("_keep"), F.col("t").alias("_t"))
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_semi")
-    repeated = named.groupBy("doc_id", "t").count().where("count > 1").limit(1).count()
+    repeated = rows.groupBy("doc_id", "t").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 

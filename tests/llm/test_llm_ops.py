@@ -473,6 +473,8 @@ def test_decontamination(spark):
     assert collections.Counter((r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench, block_windows=3).collect()) == collections.Counter((r.doc_id, r.item_id) for r in got)
     left = decontam.drop_contaminated(docs, bench)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {11, 12, 13, 14, 16, 17}
+    other = docs.unionByName(spark.createDataFrame([(None, "an unlike text"), (10, "another text")], "doc_id long, text string").withColumn("item_id", F.lit("x")))
+    assert {(r.doc_id, r.text) for r in decontam.drop_contaminated(other, bench).where("doc_id is null or doc_id = 10").collect()} == {(None, "an unlike text"), (10, "another text")}
     assert decontam.contaminated(docs, empty(bench)).count() == 0 and decontam.contaminated(empty(docs), bench).count() == 0
 
 
