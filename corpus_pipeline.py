@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspool.llm import decontam, packing, shinglejoin, suffixdedup, toxicity
+from larkspool.llm import decontam, nearcopies, packing, suffixdedup, toxicity
 
 #: SQL can't express the trained, the hashed and the packing stages.
 ORACLE_SQL = None
@@ -24,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return shinglejoin.one_of_each(docs)
+    """One document of each near-duplicate group: SimHash tables over five-word
+    shingles, links confirmed by a Jaccard similarity of 0.8."""
+    return nearcopies.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
