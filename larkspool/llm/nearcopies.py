@@ -10,10 +10,11 @@ of those at 0.8 by calculation, more above. Pairs that share a bucket and differ
 in at most `CUT` bits are compared whole: a link is an exact similarity of at least
 `percent`.
 
-Equal sets are one node. In a bucket of up to `bucket` sets all pairs are tried. In
-a larger one all sets are tried with a few hubs, the same in every bucket; then
-pairs that are still apart are tried, so a group of near copies makes no square of
-pairs and no pair is left out. A bucket over PART_ROWS is dealt by pairs of parts.
+Equal sets are one node. A bucket's close pairs are all tried, unless there are more
+than `dense` of them a set. In such a bucket all sets are tried with a few hubs, the
+same in every bucket; then the close pairs that are still apart are tried, so a group
+of near copies makes no square of pairs and no pair is left out. A bucket over
+`part_rows` is dealt by pairs of parts.
 
 Defined cases: texts without a word are one set; null ids count as the largest; rows
 are known by id and text together; an empty table gives no rows; all columns stay.
@@ -31,11 +32,16 @@ from .textops import LOWER, RollingHash, chunks, column_bytes, mix, narrow, spre
 
 WORDS = 5
 PERCENT = 80
-#: Bits of 128 by which candidates differ at most: four deviations over the mean at 0.8.
-CUT = 36
-BUCKET = 64
+#: Bits of 128 by which candidates differ at most: three deviations over the mean at 0.8.
+CUT = 32
+#: Buckets of up to so many sets are compared side by side.
+SMALL = 48
+#: Close pairs a set, on average, from which on a bucket is dense.
+DENSE = 24
 HUBS = 3
 PART_ROWS = 8_000
+#: Names (8 bytes each) that are broadcast at most.
+BROADCAST = 500_000
 #: Rows of buckets compared in one task, about.
 TASK_ROWS = 60_000
 #: Text bytes handled at a time: a shingle takes several numbers of eight bytes.
@@ -117,37 +123,64 @@ def _bucketed(table: pa.Table):
     return order, s, f1, f2, first, np.diff(np.append(first, len(k)))
 
 
-def _edges(pairs: list[tuple[np.ndarray, np.ndarray]], s: np.ndarray) -> pa.Table:
+def _edges(pairs: list[tuple[np.ndarray, np.ndarray]], s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b = (np.concatenate([s[p[i]] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return np.minimum(a, b), np.maximum(a, b)
 
 
-def _first_pairs(bucket: int):
-    """All close pairs of small buckets; of larger ones those with a hub."""
+def _first_pairs(dense: int, rows: int):
+    """All close pairs of a bucket as (a, b, 0). Of one that has more than `dense` a
+    set, or over `rows` sets, those with a hub, and its key as (k, size, 1)."""
 
     def run(table: pa.Table) -> pa.Table:
-        _, s, f1, f2, first, size = _bucketed(table)
-        rank = np.arange(len(s)) - np.repeat(first, size)
-        own = np.repeat(size, size)
-        out = []
-        live = np.flatnonzero((own > 1) & (own <= bucket))
-        for lag in range(1, bucket):
+        order, s, f1, f2, first, size = _bucketed(table)
+        keys = table.column("k").to_numpy()[order]
+        rank, own = np.arange(len(s)) - np.repeat(first, size), np.repeat(size, size)
+        out, left = [], []
+        live = np.flatnonzero((own > 1) & (own <= SMALL))
+        for lag in range(1, SMALL):
             live = live[rank[live] + lag < own[live]]
             if not len(live):
                 break
             a = live[_close(f1, f2, live, live + lag)]
             out.append((a, a + lag))
-        for at, n in zip(first[size > bucket].tolist(), size[size > bucket].tolist(), strict=True):
+        for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
             every = np.arange(at, at + n)
+            pairs = _all_pairs(f1, f2, every, np.arange(n), dense * n) if n <= rows else None
+            if pairs is not None:
+                out += pairs
+                continue
+            left.append(at)
             for k in range(HUBS):
                 hub = np.full(n, at + int(mix(s[every].view(np.uint64) + np.uint64(k) * _MUL).argmin()))
                 ok = _close(f1, f2, every, hub) & (every != hub)
                 out.append((every[ok], hub[ok]))
-        return _edges(out, s)
+        a, b = _edges(out, s)
+        left = np.array(left, np.int64)
+        return pa.table({"a": np.append(a, keys[left]), "b": np.append(b, own[left]), "left": np.append(np.zeros(len(a), np.int32), np.ones(len(left), np.int32))})
 
     return run
 
 
+def _all_pairs(f1, f2, rows, root, most=None):
+    """Close pairs of rows whose roots differ (rows in the order of root), or None
+    if they are more than `most`."""
+    out, held = [], 0
+    after = np.searchsorted(root, root, "right")
+    for i in range(0, len(rows), 64):  # some rows against all those of later roots
+        top, rest = rows[i : i + 64], rows[int(after[i]) :]
+        if not len(rest):
+            break
+        near = np.bitwise_count(f1[top][:, None] ^ f1[rest]).astype(np.int16) + np.bitwise_count(f2[top][:, None] ^ f2[rest]) <= CUT
+        x, y = np.nonzero(near)
+        ok = root[i + x] < root[int(after[i]) + y]
+        out.append((top[x][ok], rest[y][ok]))
+        held += int(ok.sum())
+        if most is not None and held > most:
+            return None
+    return out
+
+
 def _other_pairs(table: pa.Table) -> pa.Table:
     """All close pairs of a bucket whose roots differ."""
     order, s, f1, f2, first, size = _bucketed(table)
@@ -155,17 +188,9 @@ def _other_pairs(table: pa.Table) -> pa.Table:
     out = []
     for at, n in zip(first.tolist(), size.tolist(), strict=True):
         rows = at + np.argsort(root[at : at + n], kind="stable")
-        r = root[rows]
-        after = np.searchsorted(r, r, "right")
-        for i in range(0, n, 64):  # some rows against all those of later roots
-            top = rows[i : i + 64]
-            rest = rows[int(after[i]) :]
-            if len(rest):
-                near = np.bitwise_count(f1[top][:, None] ^ f1[rest]).astype(np.int16) + np.bitwise_count(f2[top][:, None] ^ f2[rest]) <= CUT
-                x, y = np.nonzero(near)
-                ok = root[top[x]] < root[rest[y]]
-                out.append((top[x][ok], rest[y][ok]))
-    return _edges(out, s)
+        out += _all_pairs(f1, f2, rows, root[rows])
+    a, b = _edges(out, s)
+    return pa.table({"a": a, "b": b})
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +201,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def links(docs: DataFrame, kinds: DataFrame, words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
+def _few(names: DataFrame) -> DataFrame:
+    """names (one long), broadcast if they are few enough (BROADCAST rows), else not."""
+    return F.broadcast(names) if names.limit(BROADCAST + 1).count() <= BROADCAST else names
+
+
+def links(docs: DataFrame, kinds: DataFrame, words: int = WORDS, percent: int = PERCENT, dense: int = DENSE, part_rows: int = PART_ROWS) -> DataFrame:
     """Edges (a, b) of set names that span the similar pairs. kinds: s, f1, f2."""
 
     def run(batches):
@@ -185,38 +215,41 @@ def links(docs: DataFrame, kinds: DataFrame, words: int = WORDS, percent: int =
                 yield pa.RecordBatch.from_arrays([pa.array(_names(h, offs)), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(h.view(np.int64)))], ["s", "h"])
 
     def some(pairs: DataFrame) -> DataFrame:
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct())
+        wanted = _few(stored(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()))
         sets = narrow(docs, "text").mapInArrow(run, "s long, h array<long>").join(wanted, "s", "left_semi").groupBy("s").agg(F.first("h").alias("h"))
         return stored(confirmed(pairs, stored(sets), percent))
 
     total = kinds.count() * 4 * 31
-    dealt = buckets(kinds)
     group = F.pmod("k", F.lit(max(1, -(-total // TASK_ROWS))))
-    first = dealt.select("k", "s", "f1", "f2", group.alias("g")).groupBy("g").applyInArrow(_first_pairs(bucket), "a long, b long")
-    found = some(stored(first.distinct()))
-    large = stored(dealt.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > bucket))
+    first = buckets(kinds).select("k", "s", "f1", "f2", group.alias("g")).groupBy("g").applyInArrow(_first_pairs(dense, part_rows), "a long, b long, left int")
+    first = stored(first.distinct())
+    found = some(first.where("left = 0").select("a", "b"))
+    large = first.where("left = 1").select(F.col("a").alias("k"))
     if large.limit(1).count() == 0:
         return found
     roots = stored(components(found).select(F.col("node").alias("s"), "root"))
-    rows = buckets(kinds.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")))
-    # what is whole already needs no more pairs
-    mixed = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("n") > bucket) & (F.col("lo") < F.col("hi")))
-    parts = F.ceil(F.col("n") * 2 / PART_ROWS).cast("int")
-    mixed = stored(mixed.select("k", F.when(F.col("n") > PART_ROWS, parts).otherwise(1).alias("parts"), "n"))
-    asked = mixed.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
+    rows = stored(buckets(kinds.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))).join(_few(large), "k", "left_semi"))
+    # a bucket that is one component by now has no more links to find
+    mixed = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi"))
+    parts = F.ceil(F.col("n") * 2 / part_rows).cast("int")
+    mixed = stored(mixed.select("k", F.when(F.col("n") > part_rows, parts).otherwise(1).alias("parts"), "n"))
+    asked = mixed.agg(F.sum(F.col("n") * F.col("parts"))).first()[0]
+    if not asked:
+        return found
     rows = spread_lookup(rows, mixed.drop("n"), ["k"], F.col("s")).withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
     rows = rows.select("s", "f1", "f2", "root", "k", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     rows = rows.select("s", "f1", "f2", "root", F.xxhash64("k", F.least("part", "other"), F.greatest("part", "other")).alias("k"))
     more = rows.withColumn("g", F.pmod("k", F.lit(max(1, -(-asked // TASK_ROWS))))).groupBy("g").applyInArrow(_other_pairs, "a long, b long")
-    return stored(found.unionByName(some(stored(more.distinct().join(found, ["a", "b"], "left_anti")))))
+    more = stored(more.distinct().join(found, ["a", "b"], "left_anti"))
+    return stored(found.unionByName(some(more)))
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, **options) -> DataFrame:
     """docs with one row of each component of similar texts: the one of the least
     doc_id (rows without an id count as the largest)."""
     rows = stored(named(docs, words))
     kinds = stored(rows.groupBy("s").agg(F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("m")))
-    roots = components(links(docs, kinds.select("s", "f1", "f2"), words, percent, bucket))
+    roots = components(links(docs, kinds.select("s", "f1", "f2"), words, percent, **options))
     kinds = kinds.join(roots.select(F.col("node").alias("s"), "root"), "s", "left")
     first = kinds.groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("m").alias("m"))
     return keep_rows(docs, first.select("m.doc_id", "m.t"), rows)

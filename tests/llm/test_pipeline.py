@@ -7,7 +7,7 @@ import pandas as pd
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from larkspool.llm import packing, toxicity
+from larkspool.llm import nearcopies, packing, toxicity
 import test_llm_ops as B
 
 
@@ -89,6 +89,8 @@ def test_stage_finds_edited_copies(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
     assert got == set(root) and len(got) < len(texts) - 70
+    small = nearcopies.one_of_each(docs, dense=0, part_rows=20)  # hubs, roots and parts
+    assert {r.doc_id for r in small.collect()} == got
     # the copies are further apart than op2's radius
     assert sum((B.naive_simhash(texts[12 + k]) ^ B.naive_simhash(base[k // 3])).bit_count() > 4 for k in range(36)) > 5
 
