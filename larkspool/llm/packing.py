@@ -4,8 +4,8 @@ pieces() gives each document's token pieces. best_fit_packing() (exact-complemen
 hashing) places all pieces of the table: the lengths' histogram has at most
 `capacity` rows whatever the table's size, so the plan is made from it on the
 driver, and each piece finds its place from its rank within its length.
-packed_sequences() (best-fit-decreasing, segment tree) packs stretches of the
-input where they lie, without a shuffle, and returns the id matrices.
+packed_sequences() (best-fit-decreasing, segment tree) packs blocks of documents and
+returns the id matrices' rows; write_matrices() writes them as whole matrices.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed
 one by one; a null id stays null; an empty table gives no rows; other columns of
@@ -20,15 +20,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textops import chunks, column_bytes, narrow, stored
+from .textops import blocks_for, chunks, column_bytes, narrow, stored, text_bytes
 from .tokens import default_path, ids_for
 
 CAPACITY = 1024
 END_ID = 2
+#: Text bytes that are packed into matrices together.
+BLOCK_BYTES = 8 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -319,14 +320,21 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 SEQUENCES = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
 
-def packed_sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, chunk_tokens: int = 4 << 20) -> DataFrame:
+def packed_sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Packed rows: ids padded to capacity with end_id (little-endian unsigned
     32-bit), the cumulative segment lengths, and positions that start anew with
-    each segment. Each chunk_tokens of a partition are packed on their own, so
-    no data moves, and the last sequences of a chunk may have room left."""
+    each segment. Documents are dealt by a hash into blocks of about block_bytes of
+    text, and each block is packed on its own, in the order of ids and texts, so
+    rows and sequence ids depend on the documents alone. A block's last sequences
+    may have room left."""
     path = path or default_path()
+    blocks = blocks_for(text_bytes(docs), block_bytes)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(docs["doc_id"], docs["text"]).alias("h"))
 
-    def flush(parts, first):
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        table = table.sort_by([("h", "ascending"), ("doc_id", "ascending")]).select(["doc_id", "text"])
+        parts = [(doc, p, ids[s : s + n]) for batch in table.combine_chunks().to_batches() for doc, ids in _documents(batch, path, end_id) for p, (s, n) in enumerate(cut(len(ids), capacity))]
         docs_, nums, ids = zip(*parts, strict=True)
         lengths = np.array([len(x) for x in ids])
         rows = []
@@ -335,25 +343,34 @@ def packed_sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None
             row, pos = np.full(capacity, end_id, "<u4"), np.zeros(capacity, "<u4")
             for s, i in zip(cu, members, strict=False):
                 row[s : s + lengths[i]], pos[s : s + lengths[i]] = ids[i], np.arange(lengths[i])
-            rows.append((first + k, int(cu[-1]), [docs_[i] for i in members], [nums[i] for i in members], cu.tolist(), row.tobytes(), pos.tobytes()))
+            rows.append(((block << 32) + k, int(cu[-1]), [docs_[i] for i in members], [nums[i] for i in members], cu.tolist(), row.tobytes(), pos.tobytes()))
         types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
         names = [x.split()[0] for x in SEQUENCES.split(", ")]
-        return len(rows), pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    def run(batches):
-        parts, held, first = [], 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for doc, ids in _documents(batch, path, end_id):
-                parts += [(doc, p, ids[s : s + n]) for p, (s, n) in enumerate(cut(len(ids), capacity))]
-                held += len(ids)
-                if held >= chunk_tokens:
-                    n, out = flush(parts, first)
-                    yield out
-                    parts, held, first = [], 0, first + n
-        if parts:
-            yield flush(parts, first)[1]
-
-    return narrow(docs, "doc_id", "text").mapInArrow(run, SEQUENCES)
+    return rows.withColumn("block", F.pmod("h", F.lit(blocks))).groupBy("block").applyInArrow(run, SEQUENCES)
+
+
+MATRICES = "block long, n_sequences int, capacity int, input_ids binary, position_ids binary, cu_seqlens binary, rows binary"
+
+
+def write_matrices(docs: DataFrame, out: str, capacity: int = CAPACITY, rows: int = 4096, **options) -> None:
+    """Binary matrices in the folder out, up to `rows` sequences each: input_ids and
+    position_ids (n_sequences x capacity, little-endian unsigned 32-bit, row by
+    row), cu_seqlens (all rows' cumulative segment lengths, little-endian int32,
+    end to end) and rows (where each row's begin in it, int64)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("sequence_id")
+        cu = table.column("cu_seqlens").to_pylist()
+        first = np.cumsum([0] + [len(x) for x in cu]).astype("<i8")
+        ids, pos = (b"".join(table.column(c).to_pylist()) for c in ("input_ids", "position_ids"))
+        one = (table.column("block")[0].as_py(), len(cu), capacity, ids, pos, np.concatenate(cu).astype("<i4").tobytes(), first.tobytes())
+        types = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(one, types, strict=True)], [x.split()[0] for x in MATRICES.split(", ")])
+
+    made = packed_sequences(docs, capacity, **options).withColumn("block", F.floor(F.col("sequence_id") / rows))
+    made.groupBy("block").applyInArrow(run, MATRICES).write.option("compression", "zstd").parquet(out)
 
 
 def write_sequences(docs: DataFrame, out: str, **options) -> None:

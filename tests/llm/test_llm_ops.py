@@ -330,13 +330,33 @@ def test_binary_rows_round_trip(spark):
     one = packing.pieces(df, capacity=64, with_ids=True).collect()
     want = collections.Counter((r.doc_id, r.piece, r.ids) for r in one)
     got = collections.Counter()
-    for r in packing.packed_sequences(df, capacity=64, chunk_tokens=500).collect():
+    for r in packing.packed_sequences(df, capacity=64, block_bytes=1500).collect():
         ids, pos = np.frombuffer(r.input_ids, "<u4"), np.frombuffer(r.position_ids, "<u4")
         assert len(ids) == 64 and r.cu_seqlens[-1] == r.n_tokens and (ids[r.n_tokens :] == 2).all()
         for d, p, s, e in zip(r.doc_ids, r.pieces, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
             got[d, p, ids[s:e].tobytes()] += 1
             assert pos[s:e].tolist() == list(range(e - s))
     assert got == want
+    rows = {tuple(map(str, r)) for r in packing.packed_sequences(df, capacity=64, block_bytes=1500).collect()}
+    assert rows == {tuple(map(str, r)) for r in packing.packed_sequences(df.repartition(7), capacity=64, block_bytes=1500).collect()}
+    assert packing.packed_sequences(empty(df)).count() == 0
+
+
+def test_matrices_round_trip(spark, tmp_path):
+    df, rows = corpus(spark)
+    packing.write_matrices(df, f"{tmp_path}/m", capacity=64, rows=5)
+    want = collections.Counter(r.ids for r in packing.pieces(df, capacity=64, with_ids=True).collect())
+    got = collections.Counter()
+    for m in spark.read.parquet(f"{tmp_path}/m").collect():
+        ids, pos = (np.frombuffer(x, "<u4").reshape(m.n_sequences, m.capacity) for x in (m.input_ids, m.position_ids))
+        cu, first = np.frombuffer(m.cu_seqlens, "<i4"), np.frombuffer(m.rows, "<i8")
+        assert m.n_sequences <= 5 and len(first) == m.n_sequences + 1
+        for i in range(m.n_sequences):
+            own = cu[first[i] : first[i + 1]]
+            for a, b in zip(own, own[1:], strict=False):
+                got[ids[i, a:b].tobytes()] += 1
+                assert (pos[i, a:b] == np.arange(b - a)).all()
+    assert got == want
 
 
 def test_fingerprints(spark):
