@@ -3,6 +3,7 @@ Spark lacks, run in an Arrow UDF, and only over rows that can need them."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -79,17 +80,27 @@ def has_digits(c: Column | str) -> Column:
     return col(c).rlike(r"\p{Nd}")
 
 
+def _loops(x: pd.Series) -> pd.Series:
+    def one(t: str) -> bool:
+        tokens = t.lower().split(" ")
+        for a, b, c in zip(tokens, tokens[1:], tokens[2:], strict=False):
+            if b and a.endswith(b) and c.startswith(b) and _ENDS.search(a)[0] == b == _BEGINS.match(c)[0]:
+                return True
+        return False
+
+    return x.map(one, na_action="ignore")
+
+
+_ENDS, _BEGINS = re.compile(r"\w*$"), re.compile(r"\w*")
+
+
 def asr_loop(c: Column | str) -> Column:
     """One word three times in a row, whatever its case: the last word of one
-    token, all of the next, the first word of the one after."""
-    toks = F.split(F.lower(collapse(col(c))), " ")
-    tails = F.transform(toks, lambda t: F.regexp_extract(t, f"({WORD}+)$", 1))
-    heads = F.transform(toks, lambda t: F.regexp_extract(t, f"^({WORD}+)", 1))
-    # side by side, so that each token is looked at once
-    rows = F.arrays_zip(tails.alias("a"), F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1))).alias("b"), F.slice(heads, 3, F.greatest(F.size(toks), F.lit(1))).alias("c"))
-    exact = F.exists(rows, lambda r: (r["a"] != "") & (r["a"] == r["b"]) & (r["a"] == r["c"]))
-    # Java's back-reference also takes ı for i, so it only says which rows to look at
-    return F.when(col(c).rlike(MAYBE_LOOP), F.coalesce(exact, F.lit(False))).otherwise(F.lit(False))
+    token, all of the next, the first word of the one after. Java's back-reference
+    finds the few rows to look at (it also takes ı for i); those are looked at token
+    by token in an Arrow UDF."""
+    t = col(c)
+    return F.coalesce(F.pandas_udf(_loops, "boolean")(F.when(t.rlike(MAYBE_LOOP), collapse(t))), F.lit(False))
 
 
 def char_rate(text: Column | str, duration: Column | str) -> Column:
@@ -107,8 +118,10 @@ def plain_text(c: Column | str) -> Column:
 
 def error_rate(hypothesis: Column | str, reference: Column | str) -> Column:
     """Character error rate of two texts; null for an empty reference."""
-    h, r = plain_text(hypothesis), plain_text(reference)
-    return F.when(F.length(r) > 0, F.levenshtein(h, r) / F.length(r))
+    both = F.array(F.struct(plain_text(hypothesis).alias("h"), plain_text(reference).alias("r")))
+    # bound once; equal texts are common and the distance is quadratic
+    distance = F.transform(both, lambda p: F.when(F.length(p["r"]) > 0, F.when(p["h"] == p["r"], F.lit(0)).otherwise(F.levenshtein(p["h"], p["r"])) / F.length(p["r"])))
+    return F.get(distance, 0)
 
 
 def parse_clip_id(c: Column | str) -> Column:

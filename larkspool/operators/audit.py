@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspool.functions import text as T
+from larkspool.plans.storage import spread_lookup, stored
 from larkspool.schema import known, number
 
 # The alphabet and the punctuation that texts may have.
@@ -25,8 +26,8 @@ RULES = {
 }
 
 
-def row_rules(refs: bool) -> dict[str, Column]:
-    """Rules of one row; refs: whether _ref_found is there."""
+def row_rules() -> dict[str, Column]:
+    """The rules that look at one row alone."""
     t, first, last = F.col("text"), F.substring(F.col("_bare"), 1, 1), F.right(F.col("_bare"), F.lit(1))
     dur = F.col("_dur")
     rate = F.length(t) / dur
@@ -38,10 +39,9 @@ def row_rules(refs: bool) -> dict[str, Column]:
         return number(name) < limit
 
     letters, capitals = F.regexp_count(t, F.lit(r"\p{L}")), F.regexp_count(t, F.lit(r"\p{Lu}"))
-    rules = {
+    return {
         "few_words": F.regexp_count(t, F.lit(f"[{LOWER}{UPPER}{FOREIGN}0-9]+")) < 2,
         "bad_duration": dur <= 0,
-        "repeated_text": F.col("_repeat"),
         "asr_loop": T.asr_loop(t),
         "high_cer": over("quality_asr_cer", 0.15),
         "doubled_apostrophe": t.contains("''"),
@@ -65,30 +65,34 @@ def row_rules(refs: bool) -> dict[str, Column]:
         "speaker_cosine": under("quality_speaker_cosine", 0.5),
         "rate_outlier": F.when(dur > 0, (rate < 6) | (rate > 25)),
     }
-    if refs:
-        rules |= {"ref_missing": F.col("_ref").isNotNull() & ~F.col("_ref_found"), "ref_self": F.col("_ref") == F.col("id").cast("string")}
-    return rules
 
 
 def findings(df: DataFrame) -> DataFrame:
-    """id, text, rule, severity: a row for each rule that a row breaks. The first
-    row of a text (by id) isn't a repeat. Rows without text have one finding."""
+    """id, rule, severity: a row for each rule that a row breaks. The first row of a
+    text (by id) isn't a repeat. Rows without text have one finding.
+
+    A row's own rules are tried once and stored beside its reference and a 128-bit
+    hash of its text; repeats and references are joined to that."""
     rows = df.withColumns({"text": F.coalesce("text", F.lit("")), "_ref": known("ref_id"), "_dur": F.coalesce(number("duration"), F.lit(0.0))})
-    first = rows.groupBy("text").agg(F.min("id").alias("_first"))  # combines before the shuffle
-    rows = rows.join(first, "text").withColumn("_repeat", F.col("id") > F.col("_first"))
-    ids = rows.select(F.col("id").cast("string").alias("_ref")).distinct().withColumn("_ref_found", F.lit(True))
-    rows = rows.join(ids, "_ref", "left").withColumn("_ref_found", F.coalesce("_ref_found", F.lit(False)))
     rows = rows.withColumn("_bare", F.regexp_replace("text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
-    hit = F.array_compact(F.array(*(F.when(cond, F.lit(rule)) for rule, cond in row_rules(True).items())))
-    rule = F.explode(F.when(F.col("_bare") == "", F.array(F.lit("empty_text"))).otherwise(hit))
+    hit = F.array_compact(F.array(*(F.when(cond, F.lit(rule)) for rule, cond in row_rules().items())))
+    rows = stored(rows.select("id", "_ref", F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), "text").alias("_h2"), (F.col("_bare") == "").alias("_blank"), hit.alias("_hit")))
+    told = rows.where("not _blank")
+    own = rows.select("id", F.explode(F.when(F.col("_blank"), F.array(F.lit("empty_text"))).otherwise(F.col("_hit"))).alias("rule"))
+    first = told.groupBy("_h1", "_h2").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    again = spread_lookup(told.select("id", "_h1", "_h2"), first, ["_h1", "_h2"], F.col("id")).where("id > _first").select("id", F.lit("repeated_text").alias("rule"))
+    asked = told.where("_ref is not null")
+    ids = rows.select(F.col("id").cast("string").alias("_ref")).distinct()
+    missing = asked.join(ids, "_ref", "left_anti").select("id", F.lit("ref_missing").alias("rule"))
+    self_ = asked.where(F.col("_ref") == F.col("id").cast("string")).select("id", F.lit("ref_self").alias("rule"))
     severity = F.create_map(*(F.lit(x) for kv in RULES.items() for x in kv))
-    return rows.select("id", "text", rule.alias("rule")).withColumn("severity", severity[F.col("rule")])
+    return own.unionByName(again).unionByName(missing).unionByName(self_).withColumn("severity", severity[F.col("rule")])
 
 
 def summary(df: DataFrame, examples: int = 5) -> DataFrame:
     """rule, severity, n, percent of rows, examples (the first ids)."""
     total = df.agg(F.count("*").alias("_total"))
-    found = findings(df)
+    found = stored(findings(df))
     order = Window.partitionBy("rule", "_salt").orderBy("id")
     # the first ids of hash splits first: one rule may hold most rows
     few = found.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= examples)

@@ -13,6 +13,7 @@ from larkspool.functions import verbal
 from larkspool.operators import audit, hygiene, metrics, packing, pairing, prosody, select
 from larkspool.plans import oracles
 from larkspool.plans.fixtures import PAIRING, manifest, table, view
+from larkspool.plans.storage import new_path
 from larkspool.schema import known, speaker_key
 from larkspool.streaming import ingest
 
@@ -28,18 +29,22 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _verdicts(spark, sf_dir, policy=POLICY):
+    return hygiene.verdicts(manifest(spark, sf_dir), policy)
+
+
 def _judged(spark, sf_dir):
     return hygiene.judged(manifest(spark, sf_dir), POLICY)
 
 
 @query
 def hygiene_report(spark, sf_dir):
-    return hygiene.report(_judged(spark, sf_dir))
+    return hygiene.report(_verdicts(spark, sf_dir))
 
 
 @query
 def hygiene_by_source(spark, sf_dir):
-    return hygiene.by_source(_judged(spark, sf_dir))
+    return hygiene.by_source(_verdicts(spark, sf_dir))
 
 
 @query
@@ -50,7 +55,7 @@ def hygiene_kept(spark, sf_dir):
 @query
 def hygiene_drop_fragments(spark, sf_dir):
     policy = hygiene.Policy(**{**POLICY.__dict__, "fragments": "drop", "max_music_score": None})
-    return hygiene.report(hygiene.judged(manifest(spark, sf_dir), policy))
+    return hygiene.report(_verdicts(spark, sf_dir, policy))
 
 
 @query
@@ -362,10 +367,7 @@ def reason_algebra(spark, sf_dir):
 @query
 def event_dedup_stream(spark, sf_dir):
     """The stream's result, run to its end over the files that are there."""
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    base = f"{top.rstrip('/')}/larkspool-stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")

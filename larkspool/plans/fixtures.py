@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspool.plans.storage import widened
+
 TABLES = ("documents", "labels", "embeddings", "benchmark", "events", "conversations", "pages")
 
 MANIFEST = """
@@ -31,9 +33,9 @@ from documents d left join labels l on d.doc_id = l.doc_id
 PAIRING = "select vec_id as id, label as channel, vec_id % 7 as source_id, embedding from embeddings"
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widened(df) if name in ("documents", "conversations") else df
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
