@@ -34,14 +34,14 @@ def _folded(x: pd.Series) -> pd.Series:
     return x.map(lambda t: unicodedata.normalize("NFC", t).casefold(), na_action="ignore")
 
 
-def _sparse(fn, c: Column, needs: Column) -> Column:
+def sparse(fn, c: Column, needs: Column) -> Column:
     """fn over the rows that need it; the others pass the worker as null."""
     return F.coalesce(F.pandas_udf(fn, "string")(F.when(needs, c)), c)
 
 
 def nfc(c: Column | str) -> Column:
     """Unicode composition; text below U+0300 is composed already."""
-    return _sparse(_nfc, col(c), col(c).rlike(r"[\x{0300}-\x{10FFFF}]"))
+    return sparse(_nfc, col(c), col(c).rlike(r"[\x{0300}-\x{10FFFF}]"))
 
 
 def collapse(c: Column) -> Column:
@@ -112,7 +112,7 @@ def plain_text(c: Column | str) -> Column:
     """For error rates: composed, case-folded, without punctuation."""
     t = col(c)
     # below U+0300 lower() folds all but these
-    t = _sparse(_folded, t, t.rlike(r"[\x{00B5}\x{00DF}\x{0130}\x{0149}\x{017F}\x{01F0}\x{0300}-\x{10FFFF}]"))
+    t = sparse(_folded, t, t.rlike(r"[\x{00B5}\x{00DF}\x{0130}\x{0149}\x{017F}\x{01F0}\x{0300}-\x{10FFFF}]"))
     return collapse(F.regexp_replace(F.lower(t), r"\p{P}", ""))
 
 
