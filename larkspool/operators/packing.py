@@ -65,7 +65,7 @@ def examples(index_: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def stats(seqs: DataFrame) -> DataFrame:
-    """One row; examples count repetitions, tokens don't."""
+    """One row; examples, mean_len and p95_len count repetitions, tokens don't."""
     ok, n = F.col("status") == "ok", F.col("times")
     lens = F.when(ok, F.col("length"))
     return seqs.agg(
@@ -74,6 +74,9 @@ def stats(seqs: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(ok & (F.col("kind") == "clone"), n)), F.lit(0)).alias("clone"),
         F.coalesce(F.sum(lens), F.lit(0)).alias("tokens"),
         F.max(lens).alias("max_len"),
+        F.round(F.try_divide(F.sum(lens * n), F.sum(F.when(ok, n))), 4).alias("mean_len"),
+        # a histogram of lengths, which max_len bounds
+        F.floor(F.percentile(lens, F.lit(0.95), F.coalesce(n, F.lit(0)))).cast("long").alias("p95_len"),
         *(F.count_if(F.col("status") == s).alias(s) for s in ("miss_audio", "miss_ref", "too_long")),
     )
 

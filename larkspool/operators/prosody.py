@@ -40,3 +40,11 @@ def bucketed(df: DataFrame, found: DataFrame | None = None) -> DataFrame:
 
 def save(found: DataFrame, path: str) -> None:
     found.withColumns({"rate_buckets": F.lit(RATE_BUCKETS), "loud_buckets": F.lit(LOUD_BUCKETS)}).coalesce(1).write.mode("overwrite").json(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    """The edges that save() wrote; the defaults where there are none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.range(1).select(F.array(*map(F.lit, DEFAULT_RATE)).alias("rate_edges"), F.array(*map(F.lit, DEFAULT_LOUD)).alias("loud_edges"))
+    return spark.read.schema("rate_edges array<double>, loud_edges array<double>").json(path)

@@ -78,8 +78,10 @@ def hour_budget(df: DataFrame, budget_sec: float, seed: int = 0) -> DataFrame:
     over, later ones may still fit.
 
     Whole rounds: the longest prefix that fits is taken, rows longer than what
-    is left are dropped, and the rest is tried again, until nothing changes.
-    Each round at least halves what could fit or ends, so rounds are few.
+    is left are dropped, and the rest is tried again, until nothing changes. A
+    round takes the whole prefix, so what is left of the budget is soon small and
+    few rows are tried; where long and short rows alternate near its end, rounds
+    can be as many as the rows passed over there.
     """
     from larkspool.plans.storage import stored
 
@@ -90,17 +92,18 @@ def hour_budget(df: DataFrame, budget_sec: float, seed: int = 0) -> DataFrame:
         fits = F.col("_sum") + F.col("_d") <= left
         stop = rest.where(~fits).agg(F.min("_h")).first()[0]
         now = rest if stop is None else rest.where(F.col("_h") < stop)
-        taken = now.select("id") if taken is None else taken.unionByName(now.select("id"))
+        taken = stored(now.select("id") if taken is None else taken.unionByName(now.select("id")))
         if stop is None:
             return df.join(taken, "id", "left_semi")
         left -= now.agg(F.sum("_d")).first()[0] or 0.0
         rest = rest.where((F.col("_h") >= stop) & (F.col("_d") <= left))
 
 
-def export_reason(min_sec=1.0, max_sec=30.0, allow_fragments=False) -> Column:
-    """Why a row isn't exported, or null; expects picked_ref."""
+def export_reason(min_sec=1.0, max_sec=30.0, allow_fragments=False, file_there: Column | None = None) -> Column:
+    """Why a row isn't exported, or null; expects picked_ref. file_there: whether the
+    clip's audio file is there, if that is to be asked."""
     frag = F.lit(False) if allow_fragments else F.coalesce(F.col("frag_start") | F.col("frag_end"), F.lit(False))
-    return F.when(~F.col("duration").between(min_sec, max_sec), "duration").when(frag, "fragment").when(F.col("picked_ref").isNull(), "no_reference")
+    return F.when(~F.col("duration").between(min_sec, max_sec), "duration").when(frag, "fragment").when(F.col("picked_ref").isNull(), "no_reference").when(F.lit(False) if file_there is None else ~file_there, "no_file")
 
 
 def pick_reference(df: DataFrame, max_ref_sec: float = 15.0, seed: int = 0, tries: int = 8) -> DataFrame:
@@ -111,7 +114,8 @@ def pick_reference(df: DataFrame, max_ref_sec: float = 15.0, seed: int = 0, trie
     key = speaker_key()
     rows = df.withColumns({"_ref": known("ref_id"), "_spk": key, "_rec": recording_of("src", "id")})
     own = df.select(F.col("id").cast("string").alias("_ref"), F.col("duration").alias("_ref_sec")).where(F.col("_ref_sec") <= max_ref_sec)
-    rows = rows.join(own, "_ref", "left")
+    # rows without a reference don't meet: they would be one key
+    rows = rows.where("_ref is not null").join(own, "_ref", "left").unionByName(rows.where("_ref is null").withColumn("_ref_sec", F.lit(None).cast("double")))
     pool = rows.where((F.col("duration") <= max_ref_sec) & ~F.col("_spk").rlike("^(review-|emb-|channel:)"))
     first = pool.groupBy("_spk", "_rec").agg(F.min(F.struct(hash_order(seed, "id").alias("h"), F.col("id").cast("string").alias("i"))).alias("c"))
     salt = F.pmod(F.xxhash64("_rec"), F.lit(64))

@@ -141,9 +141,8 @@ def leakage(spark, sf_dir):
 
 @query
 def exclude_anti_join(spark, sf_dir):
-    banned = table(spark, sf_dir, "benchmark").select(F.md5(F.lower(F.substring("text", 1, 8))).alias("k"))
-    docs = table(spark, sf_dir, "documents").withColumn("k", F.md5(F.lower(F.substring("text", 1, 8))))
-    return docs.join(banned, "k", "left_anti").select("doc_id", "n_chars")
+    banned = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    return table(spark, sf_dir, "documents").join(banned, "doc_id", "left_anti").select("doc_id", "n_chars")
 
 
 @query

@@ -196,7 +196,7 @@ SQL: dict[str, str] = {
     + ") select field, round(avg(v), 4) as mean, round(quantile_cont(v, 0.01), 4) as p1, round(quantile_cont(v, 0.5), 4) as p50, round(quantile_cont(v, 0.99), 4) as p99 from l where v is not null group by 1",
     "char_inventory": rf"select char, count(*) as n from (select unnest(string_split(text, '')) as char from documents) where char <> '' and (not regexp_matches(char, '[\p{{L}}\p{{N}}]') or char in ({', '.join(repr(c) for c in FOREIGN)})) group by 1",
     "leakage": f"with m as materialized ({MANIFEST}) " + " union all ".join(leak(f) for f in ("source_id", "speaker_id", "channel", "text")),
-    "exclude_anti_join": "select doc_id, n_chars from documents where lower(substr(text, 1, 8)) not in (select lower(substr(text, 1, 8)) from benchmark)",
+    "exclude_anti_join": "select doc_id, n_chars from documents where doc_id not in (select doc_id from labels where quality = 0)",
     "ref_self_join": f"with m as materialized ({MANIFEST}) select a.id, a.ref_id, round(b.duration, 6) as ref_duration, b.channel as ref_channel, case when b.id is null then 'missing' when a.ref_id = a.id then 'self' else 'ok' end as status from m a left join m b on a.ref_id = b.id where a.ref_id is not null",
     "ref_closure": f"with m as materialized ({MANIFEST}) select id, false as added from m where quality_asr_cer < 0.015 union all select id, true from m where not quality_asr_cer < 0.015 and id in (select ref_id from m where quality_asr_cer < 0.015 and ref_id is not null)",
     "needed_files": f"with m as materialized ({MANIFEST}), n as (select id from m union select ref_id from m where ref_id is not null) select id::varchar as id from n where id not in (select id from m where quality_asr_cer < 0.015)",
@@ -220,7 +220,7 @@ SQL: dict[str, str] = {
     "remap_codes": f"with {LEVELS} select id, {joined('flatten(list_transform(l0, lambda x: list_transform([0, 1, 2, 3, 4, 5, 6], lambda s: (x + s) % 4096 + [0, 1, 1, 2, 2, 2, 2][s + 1] * 4096)))')} as codes from codes",
     "build_prompt": f"with {SEQUENCES} select id, kind, label_start, {joined('prompt')} as prompt from s where status = 'ok'",
     "pack_offsets": f"with {SEQUENCES} select id, kind, length, label_start, times, coalesce(sum(length) over (order by kind desc, id rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\" from s where status = 'ok'",
-    "pack_stats": f"with {SEQUENCES} select coalesce(sum(times) filter (status = 'ok'), 0)::bigint as examples, count(*) filter (status = 'ok' and kind = 'plain') as plain, coalesce(sum(times) filter (status = 'ok' and kind = 'clone'), 0)::bigint as clone, coalesce(sum(length) filter (status = 'ok'), 0)::bigint as tokens, max(length) filter (status = 'ok') as max_len, count(*) filter (status = 'miss_audio') as miss_audio, count(*) filter (status = 'miss_ref') as miss_ref, count(*) filter (status = 'too_long') as too_long from s",
+    "pack_stats": f"with {SEQUENCES} select coalesce(sum(times) filter (status = 'ok'), 0)::bigint as examples, count(*) filter (status = 'ok' and kind = 'plain') as plain, coalesce(sum(times) filter (status = 'ok' and kind = 'clone'), 0)::bigint as clone, coalesce(sum(length) filter (status = 'ok'), 0)::bigint as tokens, max(length) filter (status = 'ok') as max_len, round(sum(length * times) filter (status = 'ok') / sum(times) filter (status = 'ok'), 4) as mean_len, (select floor(quantile_cont(length, 0.95))::bigint from s, range(times) where status = 'ok') as p95_len, count(*) filter (status = 'miss_audio') as miss_audio, count(*) filter (status = 'miss_ref') as miss_ref, count(*) filter (status = 'too_long') as too_long from s",
     "packed_problems": f"with {SEQUENCES} select case when id % 10 = 3 then 'bad end' else 'ok' end as problem, count(*) as n from s where status = 'ok' group by 1",
     "collate_batch": f"with {SEQUENCES} select id, {joined('list_transform(range(1, 65), lambda i: case when i <= label_start or i > length then -100 else tokens[i] end)')} as labels, length as mask, 64 as width from s where status = 'ok' and kind = 'plain'",
     "control_dropout": f"with m as materialized ({MANIFEST}), {CONTROL} select rate_token, loud_token, count(*) as n from k group by 1, 2",

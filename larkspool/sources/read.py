@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from larkspool.schema import MANIFEST
 
+# Column names and file names of the corpus.
 AUDIO_COLUMNS = ("audio", "wav", "speech")
 ID_COLUMNS = ("id", "clip_id", "utt_id")
 SPLIT_FILE = r"^([a-z_]+)-\d+-of-\d+\.parquet$"
@@ -104,15 +105,33 @@ def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
-def audio_bytes(df: DataFrame) -> DataFrame:
-    """audio (struct of bytes and path, binary, or a path) as binary; a path's
-    file is read by Spark's binary source; null where there is neither."""
+def audio_bytes(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """audio (struct of bytes and path, binary, or a path) as binary: the bytes, or
+    else the content of the path's file, read by Spark's binary source from folder
+    (files are known by their name); null where there is neither."""
     kind = df.schema["audio"].dataType
     if isinstance(kind, T.BinaryType):
         return df
-    if isinstance(kind, T.StructType):
-        return df.withColumn("audio", F.col("audio.bytes"))
-    return df
+    cell = F.col("audio.bytes") if isinstance(kind, T.StructType) else F.lit(None).cast("binary")
+    path = F.col("audio.path") if isinstance(kind, T.StructType) else F.col("audio")
+    df = df.withColumns({"_bytes": cell, "_file": F.when(cell.isNull(), F.regexp_extract(path, r"([^/]+)$", 1))})
+    if folder is None:
+        return df.withColumn("audio", F.col("_bytes")).drop("_bytes", "_file")
+    files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("_file"), "content").dropDuplicates(["_file"])
+    asked = df.where("_file is not null").join(files, "_file", "left")
+    held = df.where("_file is null").withColumn("content", F.lit(None).cast("binary"))
+    return held.unionByName(asked).withColumn("audio", F.coalesce("_bytes", "content")).drop("_bytes", "_file", "content").select(*df.drop("_bytes", "_file").columns)
+
+
+def code_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """id, codes, ordinal of all code shards under the folder, at any depth; ordinal
+    follows file name and row, so that the last of an id counts (last_codes)."""
+    try:
+        df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(folder)
+    except Exception as e:
+        raise ValueError(f"no code shards under {folder}") from e
+    return df.select("id", "codes", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("ordinal"))
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*.flac") -> DataFrame:

@@ -145,3 +145,37 @@ def test_sources(spark, tmp_path):
     write.manifest(df.select("id", "text"), f"{root}/m.jsonl")
     assert sorted(r.id for r in read.read_jsonl(spark, f"{root}/m.jsonl").collect()) == ["a", "b"]
     assert json.loads(df.select("id").toJSON().first()) == {"id": "a"}
+
+
+def test_audio_from_paths(spark, tmp_path):
+    from larkspool.sources import read
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "one.flac").write_bytes(b"one")
+    rows = [("x", (None, "b/one.flac")), ("y", (b"two", "one.flac")), ("z", (None, None)), ("w", (None, "none.flac"))]
+    df = spark.createDataFrame(rows, "id string, audio struct<bytes: binary, path: string>")
+    got = {r.id: r.audio and bytes(r.audio) for r in read.audio_bytes(df, f"{tmp_path}/a").collect()}
+    assert got == {"x": b"one", "y": b"two", "z": None, "w": None}
+    paths = spark.createDataFrame([("x", "/far/one.flac")], "id string, audio string")
+    assert bytes(read.audio_bytes(paths, f"{tmp_path}/a").first().audio) == b"one"
+
+
+def test_code_shards_last_wins(spark, tmp_path):
+    from larkspool.operators import packing
+    from larkspool.sources import read
+
+    for k, codes in (("s1", [1]), ("s2", [2])):
+        spark.createDataFrame([("x", codes), (k, codes)], "id string, codes array<int>").coalesce(1).write.parquet(f"{tmp_path}/codes/{k}")
+    got = {r.id: r.codes for r in packing.last_codes(read.code_shards(spark, f"{tmp_path}/codes")).collect()}
+    assert got == {"x": [2], "s1": [1], "s2": [2]}
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError):
+        read.code_shards(spark, f"{tmp_path}/none")
+
+
+def test_prosody_edges_load(spark, tmp_path):
+    from larkspool.operators import prosody
+
+    assert prosody.load(spark, f"{tmp_path}/no").first().loud_edges == prosody.DEFAULT_LOUD
+    prosody.save(spark.createDataFrame([([1.0, 2.0], [3.0])], "rate_edges array<double>, loud_edges array<double>"), f"{tmp_path}/p")
+    assert prosody.load(spark, f"{tmp_path}/p").first().rate_edges == [1.0, 2.0]
