@@ -37,8 +37,8 @@ CUT = 32
 #: Buckets of up to so many sets are compared side by side.
 SMALL = 48
 #: Close pairs a set, on average, from which on a bucket is dense.
-DENSE = 24
-HUBS = 3
+DENSE = 4
+HUBS = 2
 PART_ROWS = 8_000
 #: Names (8 bytes each) that are broadcast at most.
 BROADCAST = 500_000
@@ -103,11 +103,12 @@ def named(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def buckets(kinds: DataFrame) -> DataFrame:
-    """kinds (s, f1, f2, ...) with k, the bucket, once for each table."""
+    """kinds (s, f1, f2, ...) with k, the bucket, once for each table; hubs: whether
+    the table is the first of its part."""
     wide = [(t, t // 2 % 2, signed(m << 32 * (t % 2))) for t in range(4) for m in masks(4, 3000 + t, 32)]
     rows = [F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), F.lit(m).alias("m")) for i, (_, w, m) in enumerate(wide)]
     half = F.when(F.col("e.w") == 0, F.col("f1")).otherwise(F.col("f2"))
-    return kinds.withColumn("e", F.explode(F.array(*rows))).withColumn("k", F.xxhash64("e.i", half.bitwiseAND(F.col("e.m")))).drop("e")
+    return kinds.withColumn("e", F.explode(F.array(*rows))).withColumn("k", F.xxhash64("e.i", half.bitwiseAND(F.col("e.m")))).withColumn("hubs", F.pmod("e.i", F.lit(31)) == 0).drop("e")
 
 
 def _close(f1, f2, a, b) -> np.ndarray:
@@ -129,12 +130,13 @@ def _edges(pairs: list[tuple[np.ndarray, np.ndarray]], s: np.ndarray) -> tuple[n
 
 
 def _first_pairs(dense: int, rows: int):
-    """All close pairs of a bucket as (a, b, 0). Of one that has more than `dense` a
-    set, or over `rows` sets, those with a hub, and its key as (k, size, 1)."""
+    """All close pairs of a bucket as (a, b, 0). One that has more than `dense` a set,
+    or over `rows` sets, gives its key as (k, size, 1), and in the first table of
+    each part the pairs with a few hubs, so a set is in a bounded number of those."""
 
     def run(table: pa.Table) -> pa.Table:
         order, s, f1, f2, first, size = _bucketed(table)
-        keys = table.column("k").to_numpy()[order]
+        keys, hubs = table.column("k").to_numpy()[order], table.column("hubs").to_numpy(zero_copy_only=False)[order]
         rank, own = np.arange(len(s)) - np.repeat(first, size), np.repeat(size, size)
         out, left = [], []
         live = np.flatnonzero((own > 1) & (own <= SMALL))
@@ -144,14 +146,22 @@ def _first_pairs(dense: int, rows: int):
                 break
             a = live[_close(f1, f2, live, live + lag)]
             out.append((a, a + lag))
+        begin = np.arange(len(s)) - rank
+        if out:  # the pairs of small buckets that are dense are given back
+            a, b = (np.concatenate([x[i] for x in out]) for i in (0, 1))
+            many = np.bincount(begin[a], minlength=len(s)) > dense * own
+            out = [(a[~many[begin[a]]], b[~many[begin[a]]])]
+            left = np.flatnonzero(many).tolist()
         for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            every = np.arange(at, at + n)
-            pairs = _all_pairs(f1, f2, every, np.arange(n), dense * n) if n <= rows else None
-            if pairs is not None:
+            pairs = _all_pairs(f1, f2, np.arange(at, at + n), np.arange(n), dense * n) if n <= rows else None
+            if pairs is None:
+                left.append(at)
+            else:
                 out += pairs
-                continue
-            left.append(at)
-            for k in range(HUBS):
+        for at in left:
+            n = int(own[at])
+            every = np.arange(at, at + n)
+            for k in range(HUBS if hubs[at] else 0):
                 hub = np.full(n, at + int(mix(s[every].view(np.uint64) + np.uint64(k) * _MUL).argmin()))
                 ok = _close(f1, f2, every, hub) & (every != hub)
                 out.append((every[ok], hub[ok]))
@@ -221,7 +231,7 @@ def links(docs: DataFrame, kinds: DataFrame, words: int = WORDS, percent: int =
 
     total = kinds.count() * 4 * 31
     group = F.pmod("k", F.lit(max(1, -(-total // TASK_ROWS))))
-    first = buckets(kinds).select("k", "s", "f1", "f2", group.alias("g")).groupBy("g").applyInArrow(_first_pairs(dense, part_rows), "a long, b long, left int")
+    first = buckets(kinds).select("k", "s", "f1", "f2", "hubs", group.alias("g")).groupBy("g").applyInArrow(_first_pairs(dense, part_rows), "a long, b long, left int")
     first = stored(first.distinct())
     found = some(first.where("left = 0").select("a", "b"))
     large = first.where("left = 1").select(F.col("a").alias("k"))
