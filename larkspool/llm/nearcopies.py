@@ -10,11 +10,14 @@ of those at 0.8 by calculation, more above. Pairs that share a bucket and differ
 in at most `CUT` bits are compared whole: a link is an exact similarity of at least
 `percent`.
 
-Equal sets are one node. A bucket's close pairs are all tried, unless there are more
-than `dense` of them a set. In such a bucket all sets are tried with a few hubs, the
-same in every bucket; then the close pairs that are still apart are tried, so a group
-of near copies makes no square of pairs and no pair is left out. A bucket over
-`part_rows` is dealt by pairs of parts.
+Equal sets are one node. A pair is made in the first table in which its sets meet, so
+once. A bucket's close pairs are all tried, unless there are more than `dense` of
+them a set. In such a bucket all sets are tried with a few hubs, the same in every
+bucket; then those pairs that are still apart are tried in two rounds: a spanning forest
+of each bucket's pairs that agree in `LIKELY` of 256 minima (8 bits of each), and all
+that are apart after that and agree in `AGREE`. A pair at a similarity of 0.8 agrees
+in 205 on average; one in ten thousand of those has fewer than AGREE and is lost. A
+bucket over `part_rows` is dealt by pairs of parts.
 
 Defined cases: texts without a word are one set; null ids count as the largest; rows
 are known by id and text together; an empty table gives no rows; all columns stay.
@@ -39,6 +42,11 @@ SMALL = 48
 #: Close pairs a set, on average, from which on a bucket is dense.
 DENSE = 4
 HUBS = 2
+#: Minima in the sketch of a set in a dense bucket, and how many a pair must share.
+MINIMA = 256
+AGREE = 180
+#: A pair that shares so many is tried first.
+LIKELY = 204
 PART_ROWS = 8_000
 #: Names (8 bytes each) that are broadcast at most.
 BROADCAST = 500_000
@@ -46,6 +54,11 @@ BROADCAST = 500_000
 TASK_ROWS = 60_000
 #: Text bytes handled at a time: a shingle takes several numbers of eight bytes.
 SLICE = 1 << 19
+#: Pairs whose sketches are compared at a time.
+PAIRS = 1 << 16
+
+#: Each table's half of the fingerprint and mask.
+TABLES = [(part // 2, m << 32 * (part % 2)) for part in range(4) for m in masks(4, 3000 + part, 32)]
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,18 +116,43 @@ def named(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def buckets(kinds: DataFrame) -> DataFrame:
-    """kinds (s, f1, f2, ...) with k, the bucket, once for each table; hubs: whether
-    the table is the first of its part."""
-    wide = [(t, t // 2 % 2, signed(m << 32 * (t % 2))) for t in range(4) for m in masks(4, 3000 + t, 32)]
-    rows = [F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), F.lit(m).alias("m")) for i, (_, w, m) in enumerate(wide)]
+    """kinds (s, f1, f2, ...) with k, the bucket, and i, the table, for each table."""
+    rows = [F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), F.lit(signed(m)).alias("m")) for i, (w, m) in enumerate(TABLES)]
     half = F.when(F.col("e.w") == 0, F.col("f1")).otherwise(F.col("f2"))
-    return kinds.withColumn("e", F.explode(F.array(*rows))).withColumn("k", F.xxhash64("e.i", half.bitwiseAND(F.col("e.m")))).withColumn("hubs", F.pmod("e.i", F.lit(31)) == 0).drop("e")
+    return kinds.withColumn("e", F.explode(F.array(*rows))).withColumn("k", F.xxhash64("e.i", half.bitwiseAND(F.col("e.m")))).withColumn("i", F.col("e.i")).drop("e")
 
 
 def _close(f1, f2, a, b) -> np.ndarray:
     return np.bitwise_count(f1[a] ^ f1[b]).astype(np.int16) + np.bitwise_count(f2[a] ^ f2[b]) <= CUT
 
 
+def _meet(f1, f2, a, b) -> np.ndarray:
+    """The first table in which the rows a and b share a bucket."""
+    halves = f1[a] ^ f1[b], f2[a] ^ f2[b]
+    out, left = np.full(len(a), len(TABLES)), np.arange(len(a))
+    for i, (w, m) in enumerate(TABLES):
+        hit = halves[w][left] & np.uint64(m) == 0
+        out[left[hit]] = i
+        left = left[~hit]
+    return out
+
+
+def minima(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A row of MINIMA bytes for each set: bits of the least of its hashes under as
+    many hash functions (zeros for an empty set)."""
+    out = np.zeros((len(offs) - 1, MINIMA), np.uint8)
+    some = np.flatnonzero(np.diff(offs))
+    for k in range(MINIMA if len(some) else 0):
+        out[some, k] = mix(np.minimum.reduceat(mix(h + np.uint64((k + 1) * int(_MUL) % (1 << 64))), offs[some])) & np.uint64(255)
+    return out
+
+
+def _alike(z: np.ndarray, a: np.ndarray, b: np.ndarray, agree: int) -> np.ndarray:
+    """Whether the sketches of rows a and b agree in so many places."""
+    out = [(z[a[i : i + PAIRS]] == z[b[i : i + PAIRS]]).sum(axis=1) >= agree for i in range(0, len(a), PAIRS)]
+    return np.concatenate(out) if out else np.zeros(0, bool)
+
+
 def _bucketed(table: pa.Table):
     """Columns in the order of the buckets, first row and size of each."""
     k, s, f1, f2 = (table.column(c).to_numpy() for c in ("k", "s", "f1", "f2"))
@@ -130,13 +168,13 @@ def _edges(pairs: list[tuple[np.ndarray, np.ndarray]], s: np.ndarray) -> tuple[n
 
 
 def _first_pairs(dense: int, rows: int):
-    """All close pairs of a bucket as (a, b, 0). One that has more than `dense` a set,
+    """The close pairs of a bucket as (a, b, 0), each in its first table. One that has more than `dense` a set,
     or over `rows` sets, gives its key as (k, size, 1), and in the first table of
     each part the pairs with a few hubs, so a set is in a bounded number of those."""
 
     def run(table: pa.Table) -> pa.Table:
         order, s, f1, f2, first, size = _bucketed(table)
-        keys, hubs = table.column("k").to_numpy()[order], table.column("hubs").to_numpy(zero_copy_only=False)[order]
+        keys, tables = (table.column(c).to_numpy()[order] for c in "ki")
         rank, own = np.arange(len(s)) - np.repeat(first, size), np.repeat(size, size)
         out, left = [], []
         live = np.flatnonzero((own > 1) & (own <= SMALL))
@@ -158,10 +196,14 @@ def _first_pairs(dense: int, rows: int):
                 left.append(at)
             else:
                 out += pairs
+        if out:
+            a, b = (np.concatenate([x[i] for x in out]) for i in (0, 1))
+            here = _meet(f1, f2, a, b) == tables[a]
+            out = [(a[here], b[here])]
         for at in left:
             n = int(own[at])
             every = np.arange(at, at + n)
-            for k in range(HUBS if hubs[at] else 0):
+            for k in range(0 if tables[at] % 31 else HUBS):
                 hub = np.full(n, at + int(mix(s[every].view(np.uint64) + np.uint64(k) * _MUL).argmin()))
                 ok = _close(f1, f2, every, hub) & (every != hub)
                 out.append((every[ok], hub[ok]))
@@ -191,16 +233,49 @@ def _all_pairs(f1, f2, rows, root, most=None):
     return out
 
 
-def _other_pairs(table: pa.Table) -> pa.Table:
-    """All close pairs of a bucket whose roots differ."""
-    order, s, f1, f2, first, size = _bucketed(table)
-    root = table.column("root").to_numpy()[order]
-    out = []
-    for at, n in zip(first.tolist(), size.tolist(), strict=True):
-        rows = at + np.argsort(root[at : at + n], kind="stable")
-        out += _all_pairs(f1, f2, rows, root[rows])
-    a, b = _edges(out, s)
-    return pa.table({"a": a, "b": b})
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Places of pairs (a, b) of 0..n-1 that span the components of all the pairs."""
+    label, live, kept = np.arange(n), np.arange(len(a)), [np.zeros(0, np.int64)]
+    while True:
+        x, y = label[a[live]], label[b[live]]
+        live, x, y = (c[x != y] for c in (live, x, y))
+        if not len(live):
+            return np.concatenate(kept)
+        high, at = np.unique(np.maximum(x, y), return_index=True)  # a label goes to a lower one
+        kept.append(live[at])
+        label[high] = np.minimum(x, y)[at]
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _other_pairs(agree: int, forest: bool):
+    """The close pairs of a bucket whose roots differ and whose sketches agree in
+    `agree` places, each in its first table; of a bucket's pairs a spanning forest
+    only, if asked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order, s, f1, f2, first, size = _bucketed(table)
+        root, tables = (table.column(c).to_numpy()[order] for c in ("root", "i"))
+        z = np.frombuffer(b"".join(table.column("z").to_pylist()), np.uint8).reshape(-1, MINIMA)[order]
+        out = []
+        for at, n in zip(first.tolist(), size.tolist(), strict=True):
+            rows = at + np.argsort(root[at : at + n], kind="stable")
+            own = []
+            for a, b in _all_pairs(f1, f2, rows, root[rows]):
+                here = np.flatnonzero(_meet(f1, f2, a, b) == tables[a])
+                here = here[_alike(z, a[here], b[here], agree)]
+                own.append((a[here], b[here]))
+            if forest and own:
+                a, b = (np.concatenate([x[i] for x in own]) for i in (0, 1))
+                # sets of one root are joined already
+                _, label = np.unique(root[at : at + n], return_inverse=True)
+                some = _forest(label[a - at], label[b - at], n)
+                own = [(a[some], b[some])]
+            out += own
+        a, b = _edges(out, s)
+        return pa.table({"a": a, "b": b})
+
+    return run
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,34 +299,47 @@ def links(docs: DataFrame, kinds: DataFrame, words: int = WORDS, percent: int =
             for h, offs in _sets(batch.column(0), words):
                 yield pa.RecordBatch.from_arrays([pa.array(_names(h, offs)), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(h.view(np.int64)))], ["s", "h"])
 
-    def some(pairs: DataFrame) -> DataFrame:
-        wanted = _few(stored(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()))
-        sets = narrow(docs, "text").mapInArrow(run, "s long, h array<long>").join(wanted, "s", "left_semi").groupBy("s").agg(F.first("h").alias("h"))
-        return stored(confirmed(pairs, stored(sets), percent))
+    def sketched(batches):
+        for batch in batches:
+            h = batch.column(1)
+            offs = h.offsets.to_numpy() - h.offsets[0].as_py()
+            z = minima(h.flatten().to_numpy().view(np.uint64), offs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in z], pa.binary())], ["s", "z"])
+
+    def sets_of(names: DataFrame) -> DataFrame:
+        wanted = _few(stored(names.distinct()))
+        return stored(narrow(docs, "text").mapInArrow(run, "s long, h array<long>").join(wanted, "s", "left_semi").groupBy("s").agg(F.first("h").alias("h")))
 
     total = kinds.count() * 4 * 31
     group = F.pmod("k", F.lit(max(1, -(-total // TASK_ROWS))))
-    first = buckets(kinds).select("k", "s", "f1", "f2", "hubs", group.alias("g")).groupBy("g").applyInArrow(_first_pairs(dense, part_rows), "a long, b long, left int")
+    first = buckets(kinds).select("k", "s", "f1", "f2", "i", group.alias("g")).groupBy("g").applyInArrow(_first_pairs(dense, part_rows), "a long, b long, left int")
     first = stored(first.distinct())
-    found = some(first.where("left = 0").select("a", "b"))
+    pairs = first.where("left = 0").select("a", "b")
+    found = stored(confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("s"))), percent))
     large = first.where("left = 1").select(F.col("a").alias("k"))
     if large.limit(1).count() == 0:
         return found
-    roots = stored(components(found).select(F.col("node").alias("s"), "root"))
-    rows = stored(buckets(kinds.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))).join(_few(large), "k", "left_semi"))
-    # a bucket that is one component by now has no more links to find
-    mixed = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi"))
-    parts = F.ceil(F.col("n") * 2 / part_rows).cast("int")
-    mixed = stored(mixed.select("k", F.when(F.col("n") > part_rows, parts).otherwise(1).alias("parts"), "n"))
-    asked = mixed.agg(F.sum(F.col("n") * F.col("parts"))).first()[0]
-    if not asked:
-        return found
-    rows = spread_lookup(rows, mixed.drop("n"), ["k"], F.col("s")).withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
-    rows = rows.select("s", "f1", "f2", "root", "k", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select("s", "f1", "f2", "root", F.xxhash64("k", F.least("part", "other"), F.greatest("part", "other")).alias("k"))
-    more = rows.withColumn("g", F.pmod("k", F.lit(max(1, -(-asked // TASK_ROWS))))).groupBy("g").applyInArrow(_other_pairs, "a long, b long")
-    more = stored(more.distinct().join(found, ["a", "b"], "left_anti"))
-    return stored(found.unionByName(some(more)))
+    every = stored(buckets(kinds).join(_few(large), "k", "left_semi").select("k", "s", "f1", "f2", "i"))
+    sets = sketches = None
+    for agree, forest in ((LIKELY, True), (AGREE, False)):
+        roots = components(found).select(F.col("node").alias("s"), "root")
+        rows = stored(every.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")))
+        # a bucket that is one component by now has no more links to find
+        mixed = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi"))
+        parts = F.ceil(F.col("n") * 2 / part_rows).cast("int")
+        mixed = stored(mixed.select("k", F.when(F.col("n") > part_rows, parts).otherwise(1).alias("parts"), "n"))
+        asked = mixed.agg(F.sum(F.col("n") * F.col("parts"))).first()[0]
+        if not asked:
+            return found
+        rows = stored(spread_lookup(rows, mixed.drop("n"), ["k"], F.col("s")).withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")))
+        if sets is None:  # the second round has no other buckets
+            sets = sets_of(rows.select("s"))
+            sketches = stored(sets.mapInArrow(sketched, "s long, z binary"))
+        rows = rows.join(sketches, "s").select("s", "f1", "f2", "z", "i", "root", "k", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        rows = rows.select("s", "f1", "f2", "z", "i", "root", F.xxhash64("k", F.least("part", "other"), F.greatest("part", "other")).alias("k"))
+        more = rows.withColumn("g", F.pmod("k", F.lit(max(1, -(-asked // TASK_ROWS))))).groupBy("g").applyInArrow(_other_pairs(agree, forest), "a long, b long")
+        found = stored(found.unionByName(confirmed(stored(more.distinct()), sets, percent)))
+    return found
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, **options) -> DataFrame:
