@@ -95,6 +95,29 @@ def test_stage_finds_edited_copies(spark, tmp_path):
     assert sum((B.naive_simhash(texts[12 + k]) ^ B.naive_simhash(base[k // 3])).bit_count() > 4 for k in range(36)) > 5
 
 
+def test_sketches_and_forests():
+    rng = np.random.default_rng(5)
+    for shared, own in ((8, 1), (40, 5), (400, 50)):  # similarities of 0.8
+        common, a, b = (rng.integers(0, 2**63, (300, n)).astype(np.uint64) for n in (shared, own, own))
+        offs = np.arange(301) * (shared + own)
+        x, y = (nearcopies.minima(np.hstack([common, c]).ravel(), offs) for c in (a, b))
+        agree = (x == y).sum(axis=1)
+        assert abs(agree.mean() - 205) < 3 and agree.min() >= nearcopies.AGREE
+    assert nearcopies.minima(np.array([7], np.uint64), np.array([0, 0, 1, 1]))[[0, 2]].sum() == 0
+    a, b = rng.integers(0, 60, (2, 80))
+    some = nearcopies._forest(a, b, 60)
+
+    def parts(pairs):
+        root = list(range(60))
+        for i, j in pairs:
+            root = [root[i] if r == root[j] else r for r in root]
+        return root
+
+    whole, spanned = parts(zip(a, b)), parts(zip(a[some], b[some]))
+    assert len(some) == 60 - len(set(whole))
+    assert {(i, j) for i in range(60) for j in range(60) if whole[i] == whole[j]} == {(i, j) for i in range(60) for j in range(60) if spanned[i] == spanned[j]}
+
+
 def test_stage_keeps_other_texts_of_an_id(spark, tmp_path):
     a, b, c = (B.prose(40, 4000 + i) for i in range(3))
     docs = spark.createDataFrame([(None, a), (None, b), (7, c), (7, a), (7, c), (8, c)], "doc_id long, text string")
