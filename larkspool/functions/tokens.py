@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspool.schema import col, number
@@ -151,3 +151,11 @@ def packed_problem(ids: Column | str) -> Column:
         .when((F.get(x, n - 2) != ID["audio_end"]) | (F.get(x, n - 1) != ID["eos"]), "bad end")
         .when(F.size(F.filter(x, is_audio)) % FRAME != 0, "broken frame")
     )
+
+
+def vocabulary(spark: SparkSession) -> DataFrame:
+    """name, first_id, last_id of the parts of the id space, and of each token with
+    a name; the row "padded" ends the space that embeddings are padded to."""
+    parts = [("text", 0, TEXT_VOCAB - 1), ("audio", TEXT_VOCAB, TEXT_VOCAB + AUDIO_VOCAB - 1)]
+    rows = parts + [(name, i, i) for name, i in ID.items()] + [("padded", max(ID.values()) + 1, VOCAB - 1)]
+    return spark.createDataFrame(rows, "name string, first_id int, last_id int")

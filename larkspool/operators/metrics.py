@@ -39,6 +39,17 @@ def ingest_status(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("duration") / 3600, 4).alias("hours"))
 
 
+# The map of the overall score.
+OVERALL_FIT = (-0.06766283, 1.11546468, 0.04602535)
+
+
+def window_mean(scores: DataFrame) -> DataFrame:
+    """scores: id and raw, one row a window. The overall score of the mean."""
+    a, b, c = OVERALL_FIT
+    x = F.avg("raw")
+    return scores.groupBy("id").agg((a * x * x + b * x + c).alias("dnsmos_ovrl"))
+
+
 def predicted_mos(raw_sig: str, raw_bak: str, raw_ovr: str, fit: dict[str, tuple[float, float, float]]):
     """Quadratic maps of raw quality scores; fit: name to (a, b, c) of a x^2 + b x + c."""
     return {n: F.lit(fit[n][0]) * F.col(c) * F.col(c) + F.lit(fit[n][1]) * F.col(c) + F.lit(fit[n][2]) for n, c in (("sig", raw_sig), ("bak", raw_bak), ("ovr", raw_ovr))}

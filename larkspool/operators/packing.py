@@ -64,6 +64,13 @@ def examples(index_: DataFrame, seed: int = 0) -> DataFrame:
     return out.withColumn("order_key", hash_order(seed, "id", "kind", "copy"))
 
 
+def at(store: DataFrame, index_: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Examples by id and kind: their tokens and where the label starts, by joins on
+    the key, so that the store is read once for any number of them."""
+    keys = wanted.select("id", "kind").distinct()
+    return index_.join(keys, ["id", "kind"], "left_semi").join(store.select("id", "kind", "tokens"), ["id", "kind"]).select("id", "kind", "length", "label_start", "tokens")
+
+
 def stats(seqs: DataFrame) -> DataFrame:
     """One row; examples, mean_len and p95_len count repetitions, tokens don't."""
     ok, n = F.col("status") == "ok", F.col("times")

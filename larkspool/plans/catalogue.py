@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspool.functions import signal
 from larkspool.functions import text as T
 from larkspool.functions import tokens as K
 from larkspool.functions import verbal
-from larkspool.operators import audit, hygiene, metrics, packing, pairing, prosody, select
+from larkspool.operators import audit, hygiene, intake, metrics, packing, pairing, prosody, select
 from larkspool.plans import oracles
 from larkspool.plans.fixtures import PAIRING, manifest, table, view
 from larkspool.plans.storage import new_path
-from larkspool.schema import known, speaker_key
+from larkspool.schema import known, number, speaker_key
+from larkspool.sources.read import clip_vectors, union_splits
 from larkspool.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,3 +374,143 @@ def event_dedup_stream(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")
     ingest.run_available(ingest.distinct_keys(stream.select("user_id", "event_type"), ["user_id", "event_type"]), f"{base}/out", f"{base}/state")
     return spark.read.schema("user_id long, event_type string").parquet(f"{base}/out")
+
+
+def _waves(spark, sf_dir):
+    """Vectors as short clips of doubles at 16 kHz."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), x.alias("samples"), F.lit(16000).alias("rate"))
+
+
+@query
+def quality_windows(spark, sf_dir):
+    clips = _waves(spark, sf_dir).withColumn("samples", F.slice("samples", 1, (F.col("id") % 64 + 1).cast("int")))
+    w = clips.select("id", F.posexplode(signal.windows("samples", 20, 7)).alias("window", "x"))
+    return w.select("id", "window", F.size("x").alias("n"), F.round(F.get("x", F.lit(0)), 6).alias("first"), F.round(F.element_at("x", -1), 6).alias("last"))
+
+
+@query
+def band_energy(spark, sf_dir):
+    return _waves(spark, sf_dir).select("id", F.round(signal.energy_above("samples", "rate"), 6).alias("above_band"))
+
+
+@query
+def telephony_snr(spark, sf_dir):
+    loud = _waves(spark, sf_dir).withColumn("samples", F.transform("samples", lambda v: v * 3))
+    return loud.select("id", *(F.round(signal.law_snr("samples", law), 4).alias(f"snr_{law}") for law in ("u", "a")))
+
+
+@query
+def resampled_signal(spark, sf_dir):
+    made = _waves(spark, sf_dir).select("id", F.posexplode(signal.at_rate("samples", F.lit(24000), 16000)).alias("place", "v"))
+    return made.select("id", "place", F.round("v", 6).alias("v"))
+
+
+@query
+def intake_defaults(spark, sf_dir):
+    src = F.when(F.col("id") % 4 == 0, "  ").when(F.col("id") % 4 == 1, F.concat(F.lit(" "), F.col("source_id"))).when(F.col("id") % 4 == 2, F.col("source_id"))
+    rows = manifest(spark, sf_dir).select("id", "speaker_id", "channel", src.alias("src_column"))
+    return intake.with_defaults(rows, "id", "speaker_id", "src_column").select("id", "speaker_id", "src")
+
+
+@query
+def pairing_defaults(spark, sf_dir):
+    rows = manifest(spark, sf_dir).select("id", F.when(F.col("id") % 3 != 0, F.col("speaker_id")).alias("speaker_id"), F.when(F.col("id") % 5 != 0, F.col("channel")).alias("channel"), F.when(F.col("id") % 2 == 0, F.col("source_id")).otherwise("").alias("src"))
+    return intake.for_pairing(rows).select("id", "channel", "source_id", "speaker_id")
+
+
+@query
+def ingest_status(spark, sf_dir):
+    rows = manifest(spark, sf_dir).select("duration", intake.gate_status(F.col("review_reasons").isNull(), "quality_dnsmos_ovrl", 3.0).alias("status"))
+    return metrics.ingest_status(rows)
+
+
+@query
+def new_paths(spark, sf_dir):
+    rows = manifest(spark, sf_dir).select("id", "ref_id", F.concat(F.lit("old/"), F.col("id")).alias("audio"), F.lit("fixed.wav").alias("ref_audio"))
+    return intake.with_new_paths(rows, "clips/").select("id", "audio", "ref_audio")
+
+
+@query
+def packed_lookup(spark, sf_dir):
+    s = _sequences(spark, sf_dir)
+    wanted = table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("id"), F.explode(F.array(F.lit("plain"), F.lit("clone"))).alias("kind"))
+    return packing.at(s, packing.index(s), wanted).select("id", "kind", "length", "label_start", _joined("tokens").alias("tokens"))
+
+
+@query
+def repeated_examples(spark, sf_dir):
+    return packing.examples(packing.index(_sequences(spark, sf_dir)), seed=4).select("id", "kind", "copy", "order_key")
+
+
+@query
+def generated_codes(spark, sf_dir):
+    ids = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 9).cast("int")), lambda t: ((F.col("doc_id") * 31 + t * 997) % 16448).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", _joined(K.audio_codes(ids)).alias("codes"), K.frames_of("n_chars").cast("long").alias("frames"))
+
+
+@query
+def shard_number(spark, sf_dir):
+    return packing.shard_numbers(manifest(spark, sf_dir).select("id"), 256).select("id", F.col("shard").cast("long").alias("shard"))
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 10 == 7, 32).otherwise(F.size("embedding")).alias("dimensions"))
+
+
+def _clips(spark, sf_dir):
+    start = F.col("doc_id") % 1000 + 0.25
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("channel"), F.lit("rec").alias("source_id"), F.when(F.col("doc_id") % 3 == 0, "drop").otherwise("keep").alias("decision"), start.alias("start_sec"), (start + F.col("n_chars") / 8).alias("end_sec"))
+
+
+@query
+def clips_with_vectors(spark, sf_dir):
+    return clip_vectors(_clips(spark, sf_dir), _vectors(spark, sf_dir), "keep").select("clip_id", "channel", "start_ms", "end_ms", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query
+def vectors_by_time(spark, sf_dir):
+    have = clip_vectors(_clips(spark, sf_dir), _vectors(spark, sf_dir), "keep")
+    rows = _clips(spark, sf_dir).select(F.format_string("source-%x-%010d-%010d", "id", F.round(F.col("start_sec") * 1000).cast("long"), F.round(F.col("end_sec") * 1000).cast("long")).alias("id"), "channel", F.col("id").alias("doc_id"))
+    return pairing.with_embedding(rows, have).select("doc_id", "channel", F.col("embedding").isNotNull().alias("paired"))
+
+
+@query
+def origin_counts(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    parts = {lang: df.where(F.col("lang") == lang) for lang in ("fr", "de", "en")}
+    return union_splits(parts).groupBy("source_split", "source_ord").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query
+def loose_numbers(spark, sf_dir):
+    n = F.col("n_chars").cast("string")
+    cases = [n, F.concat(F.lit(" -"), n, F.lit(".5 ")), F.lit("None"), F.lit(""), F.lit("NaN"), F.concat(n, F.lit("_0")), F.concat(n, F.lit("e2")), F.concat(F.lit("."), n), F.concat(n, F.lit("d"))]
+    raw = F.get(F.array(*cases), (F.col("doc_id") % len(cases)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(number(raw), 9).alias("value"))
+
+
+@query
+def made_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.synthetic_id("set", F.col("doc_id") % 12000, "n_chars").alias("made"))
+
+
+@query
+def spoken_numbers(spark, sf_dir):
+    """Whole numbers, amounts, shares and measures as the verbaliser says them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 37 % 1000).alias("a"), (F.col("n_chars") % 900 + 1).alias("b"))
+    forms = {"plain": ("Toplam ", "a", " tane"), "share": ("Oran %", "b", " oldu"), "money": ("Fiyat ", "a", " TL oldu"), "measure": ("Yol ", "b", " km sürdü")}
+    made = F.array(*(F.struct(F.lit(k).alias("form"), F.concat(F.lit(x), F.col(n).cast("string"), F.lit(y)).alias("t")) for k, (x, n, y) in forms.items()))
+    return d.select("doc_id", F.explode(made).alias("f")).select("doc_id", "f.form", verbal.verbalize("f.t").alias("spoken"))
+
+
+@query
+def evaluation_digits(spark, sf_dir):
+    df = manifest(spark, sf_dir).withColumn("duration", F.col("duration") / 20)
+    e = select.evaluation_set(df, df.where("review_reasons is not null"), 40, 25, seed=11)
+    return e.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("has_digits").alias("with_digits"))
+
+
+@query
+def vocabulary(spark, sf_dir):
+    return K.vocabulary(spark)

@@ -235,3 +235,83 @@ SQL: dict[str, str] = {
     "reason_algebra": "select doc_id, case doc_id % 4 when 0 then 'a' when 1 then 'b' else '' end as hit, case doc_id % 4 when 0 then 'b,z' when 1 then 'a,z' else 'a,b,z' end as rest from documents",
     "event_dedup_stream": "select distinct user_id, event_type from events",
 }
+
+WAVES = "w as materialized (select vec_id as id, list_transform(embedding, lambda v: v::double) as x from embeddings)"
+PI = "3.141592653589793e0"
+
+
+def dft(fn: str) -> str:
+    return f"list_sum(list_transform(range(0, len(x)), lambda i: x[i + 1] * {fn}(2 * {PI} * k * i / len(x))))"
+
+
+# G.711 on 16-bit values s, by the leading bit of the magnitude
+U_MAG = "(least(abs(s), 32635) + 132)"
+U_EXP = f"(length(bin({U_MAG})) - 8)"
+U_BACK = f"((((((({U_MAG} >> ({U_EXP} + 3)) & 15) << 3) + 132) << {U_EXP}) - 132) * case when s < 0 then -1 else 1 end / 32768.0e0)"
+A_MAG = "(case when s < 0 then ((-s + 7) // 8) - 1 else s // 8 end)"
+A_EXP = f"(case when {A_MAG} > 31 then length(bin({A_MAG})) - 5 else 0 end)"
+A_BACK = f"((((({A_MAG} >> greatest({A_EXP}, 1)) & 15) * 16 + case when {A_EXP} > 0 then 264 else 8 end) << greatest({A_EXP} - 1, 0)) * case when s < 0 then -1 else 1 end / 32768.0e0)"
+
+
+def snr(back: str) -> str:
+    return f"round(10 * log10((avg(v * v) + 1e-12) / (avg(({back} - v) * ({back} - v)) + 1e-12)), 4)"
+
+
+def sinc_sum(down: int, up: int) -> str:
+    """The windowed sinc's sum for place j, six lobes wide."""
+    cut = min(down, up) * 0.99
+    t = f"(((i / {down}.0e0) - (j / {up}.0e0)) * {cut}e0)"
+    kernel = f"case when {t} = 0 then 1 else sin({PI} * {t}) / ({PI} * {t}) end * cos({PI} * {t} / 12) ** 2"
+    return f"list_sum(list_transform(range(0, len(x)), lambda i: case when abs({t}) < 6 then x[i + 1] * {kernel} else 0 end)) * {cut / down!r}e0"
+
+
+CLIPS = """c as materialized (select doc_id as id, source as channel, case when doc_id % 3 = 0 then 'drop' else 'keep' end as decision,
+  (doc_id % 1000) * 1000 + 250 as start_ms, round(((doc_id % 1000) + 0.25e0 + n_chars / 8.0e0) * 1000)::bigint as end_ms from documents),
+v as materialized (select vec_id, embedding from embeddings where vec_id % 10 <> 7)"""
+WORDS_TO_999 = """ones as (select unnest(range(0, 10)) as o, unnest(['', 'bir', 'iki', 'üç', 'dört', 'beş', 'altı', 'yedi', 'sekiz', 'dokuz']) as ow),
+tens as (select unnest(range(0, 10)) as t, unnest(['', 'on', 'yirmi', 'otuz', 'kırk', 'elli', 'altmış', 'yetmiş', 'seksen', 'doksan']) as tw),
+said as materialized (select h.o * 100 + t * 10 + u.o as n, case when h.o + t + u.o = 0 then 'sıfır' else
+  trim(regexp_replace(case when h.o = 0 then '' when h.o = 1 then 'yüz' else h.ow || ' yüz' end || ' ' || tw || ' ' || u.ow, ' +', ' ', 'g')) end as words from ones h, tens, ones u)"""
+STEPS = "order by {0}) as k"
+
+SQL |= {
+    "quality_windows": f"""with {WAVES}, c as materialized (select id, list_slice(x, 1, id % 64 + 1) as x from w),
+        s as (select id, x, unnest(case when len(x) < 20 then [0] else range(0, len(x) - 19, 7) end) as s from c)
+        select id, s // 7 as "window", 20 as n, round(x[s + 1], 6) as first, round(x[(s + 19) % len(x) + 1], 6) as last from s""",
+    "band_energy": f"""with {WAVES}, k as (select id, x, unnest(range(0, 33)) as k from w), e as (select id, k, {dft("cos")} ** 2 + {dft("sin")} ** 2 as p from k)
+        select id, round(sum(p) filter (k * 16000 / 64.0e0 > 4000) / sum(p), 6) as above_band from e group by id""",
+    "telephony_snr": f"""with {WAVES}, c as (select id, greatest(-1, least(1, unnest(x) * 3)) as v from w), q as (select id, v, round_even(v * 32767, 0)::bigint as s from c)
+        select id, {snr(U_BACK)} as snr_u, {snr(A_BACK)} as snr_a from q group by id""",
+    "resampled_signal": f"with {WAVES}, j as (select id, x, unnest(range(0, (2 * len(x) + 2) // 3)) as j from w) select id, j as place, round({sinc_sum(3, 2)}, 6) as v from j",
+    "intake_defaults": f"with m as ({MANIFEST}) select id, coalesce(speaker_id, '') as speaker_id, case when id % 4 in (1, 2) then source_id else id::varchar end as src from m",
+    "pairing_defaults": f"""with m as ({MANIFEST}), d as (select *, case when id % 5 <> 0 then channel else '' end as ch from m)
+        select id, ch as channel, case when id % 2 = 0 then source_id else id::varchar end as source_id, case when id % 3 = 0 or speaker_id is null then 'emb-' || ch else speaker_id end as speaker_id from d""",
+    "ingest_status": f"""with m as ({MANIFEST}), s as (select duration, case when review_reasons is not null then 'hygiene' when quality_dnsmos_ovrl < 3 then 'dnsmos' else 'kept' end as status from m)
+        select status, count(*) as n, round(sum(duration) / 3600, 4) as hours from s group by 1""",
+    "new_paths": f"with m as ({MANIFEST}) select id, 'clips/' || id || '.flac' as audio, case when ref_id is null then 'fixed.wav' else 'clips/' || ref_id || '.flac' end as ref_audio from m",
+    "packed_lookup": f"with {SEQUENCES} select id, kind, length, label_start, {joined('tokens')} as tokens from s where status = 'ok' and id % 50 = 0",
+    "repeated_examples": f"with {SEQUENCES}, r as (select id, kind, unnest(range(1, times + 1)) as copy from s where status = 'ok') select id, kind, copy, md5('4|' || id || '|' || kind || '|' || copy) as order_key from r",
+    "generated_codes": f"select doc_id, {joined('list_transform(list_filter(list_transform(range(0, doc_id % 9 + 1), lambda t: (doc_id * 31 + t * 997) % 16448), lambda x: x >= 4096 and x < 16384), lambda x: x - 4096)')} as codes, (n_chars + 2047) // 2048 as frames from documents",
+    "shard_number": "select doc_id as id, (row_number() over (order by doc_id) - 1) // 256 as shard from documents",
+    "clips_with_vectors": f"with {CLIPS} select vec_id as clip_id, channel, start_ms, end_ms, round(embedding[1]::double, 6) as first from c join v on id = vec_id where decision = 'keep'",
+    "vectors_by_time": f"""with {CLIPS}, h as (select distinct channel, start_ms, end_ms from c join v on id = vec_id where decision = 'keep')
+        select id as doc_id, channel, exists (select 1 from h where h.channel = c.channel and h.start_ms = c.start_ms and h.end_ms = c.end_ms) as paired from c""",
+    "origin_counts": "select lang as source_split, case lang when 'fr' then 0 when 'de' then 1 else 2 end as source_ord, count(*) as n, sum(n_chars)::bigint as chars from documents where lang in ('fr', 'de', 'en') group by 1, 2",
+    "loose_numbers": "select doc_id, round(case doc_id % 9 when 0 then n_chars::double when 1 then -n_chars - 0.5e0 when 6 then n_chars * 1e2 when 7 then ('0.' || n_chars)::double end, 9) as value from documents",
+    "made_ids": "select doc_id, printf('set-s%04dr%06d', doc_id % 12000, n_chars) as made from documents",
+    "spoken_numbers": f"""with {WORDS_TO_999}, d as (select doc_id, doc_id * 37 % 1000 as a, n_chars % 900 + 1 as b from documents), r as (select d.doc_id, p.words as a, q.words as b from d join said p on p.n = d.a join said q on q.n = d.b)
+        select doc_id, 'plain' as form, 'Toplam ' || a || ' tane' as spoken from r union all select doc_id, 'share', 'Oran yüzde ' || b || ' oldu' from r
+        union all select doc_id, 'money', 'Fiyat ' || a || ' lira oldu' from r union all select doc_id, 'measure', 'Yol ' || b || ' kilometre sürdü' from r""",
+    "evaluation_digits": f"with e as ({SQL['evaluation_set']}) select kind, count(*) as n, count(*) filter (has_digits) as with_digits from e group by 1",
+    "seconds_budget_batches": f"""with recursive m as materialized ({MANIFEST}), s as (select id, duration, (row_number() over (order by id) - 1) // 256 as shard from m),
+        o as materialized (select *, row_number() over (partition by shard {STEPS.format("duration, id")} from s),
+        w as (select shard, k, id, duration, 0 as batch, duration as held from o where k = 1 union all
+          select o.shard, o.k, o.id, o.duration, w.batch + (w.held >= 2000)::int, case when w.held >= 2000 then 0 else w.held end + o.duration from w join o on o.shard = w.shard and o.k = w.k + 1)
+        select id, shard, duration, batch from w""",
+    "token_budget_batches": f"""with recursive s as (select doc_id as id, n_chars % 2300 + 300 as length, {HASH.format(1, "doc_id")} as h from documents),
+        b as (select *, (row_number() over (order by h, id) - 1) // 448 as block from s),
+        o as materialized (select *, row_number() over (partition by block {STEPS.format("length, h, id")} from b),
+        w as (select block, k, id, length, 0 as batch, 1 as n from o where k = 1 union all
+          select o.block, o.k, o.id, o.length, w.batch + (o.length * (w.n + 1) > 20480)::int, case when o.length * (w.n + 1) > 20480 then 1 else w.n + 1 end from w join o on o.block = w.block and o.k = w.k + 1)
+        select id, length, block, batch, md5('1|' || block || '|' || batch) as batch_order from w""",
+}
