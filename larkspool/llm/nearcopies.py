@@ -15,7 +15,8 @@ once. A bucket's close pairs are all tried, unless there are more than `dense` o
 them a set. In such a bucket all sets are tried with a few hubs, the same in every
 bucket; then those pairs that are still apart are tried in two rounds: a spanning forest
 of each bucket's pairs that agree in `LIKELY` of 256 minima (8 bits of each), and all
-that are apart after that and agree in `AGREE`. A pair at a similarity of 0.8 agrees
+that are apart after that and agree in `AGREE`. Roots and sketches are joined to
+sets, not to their bucket rows; the second round has only rows in such a pair. A pair at a similarity of 0.8 agrees
 in 205 on average; one in ten thousand of those has fewer than AGREE and is lost. A
 bucket over `part_rows` is dealt by pairs of parts.
 
@@ -147,10 +148,10 @@ def minima(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _alike(z: np.ndarray, a: np.ndarray, b: np.ndarray, agree: int) -> np.ndarray:
-    """Whether the sketches of rows a and b agree in so many places."""
-    out = [(z[a[i : i + PAIRS]] == z[b[i : i + PAIRS]]).sum(axis=1) >= agree for i in range(0, len(a), PAIRS)]
-    return np.concatenate(out) if out else np.zeros(0, bool)
+def _shared(z: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many places the sketches of rows a and b agree."""
+    out = [(z[a[i : i + PAIRS]] == z[b[i : i + PAIRS]]).sum(axis=1) for i in range(0, len(a), PAIRS)]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _bucketed(table: pa.Table):
@@ -248,34 +249,49 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             label = label[label]
 
 
-def _other_pairs(agree: int, forest: bool):
-    """The close pairs of a bucket whose roots differ and whose sketches agree in
-    `agree` places, each in its first table; of a bucket's pairs a spanning forest
-    only, if asked."""
+def _apart(table: pa.Table):
+    """Names, keys and tables of the rows; and for each bucket its first row and
+    size, its roots as numbers, and the close pairs whose roots differ and whose
+    sketches agree in AGREE places, each in its first table: rows a, b, places."""
+    order, s, f1, f2, first, size = _bucketed(table)
+    keys, root, tables = (table.column(c).to_numpy()[order] for c in ("k", "root", "i"))
+    z = np.frombuffer(b"".join(table.column("z").to_pylist()), np.uint8).reshape(-1, MINIMA)[order]
 
-    def run(table: pa.Table) -> pa.Table:
-        order, s, f1, f2, first, size = _bucketed(table)
-        root, tables = (table.column(c).to_numpy()[order] for c in ("root", "i"))
-        z = np.frombuffer(b"".join(table.column("z").to_pylist()), np.uint8).reshape(-1, MINIMA)[order]
-        out = []
+    def found():
         for at, n in zip(first.tolist(), size.tolist(), strict=True):
-            rows = at + np.argsort(root[at : at + n], kind="stable")
-            own = []
+            own = root[at : at + n]
+            rows = at + np.argsort(own, kind="stable")
+            out = [(np.zeros(0, np.int64),) * 3]
             for a, b in _all_pairs(f1, f2, rows, root[rows]):
                 here = np.flatnonzero(_meet(f1, f2, a, b) == tables[a])
-                here = here[_alike(z, a[here], b[here], agree)]
-                own.append((a[here], b[here]))
-            if forest and own:
-                a, b = (np.concatenate([x[i] for x in own]) for i in (0, 1))
-                # sets of one root are joined already
-                _, label = np.unique(root[at : at + n], return_inverse=True)
-                some = _forest(label[a - at], label[b - at], n)
-                own = [(a[some], b[some])]
-            out += own
-        a, b = _edges(out, s)
-        return pa.table({"a": a, "b": b})
+                same = _shared(z, a[here], b[here])
+                here, same = here[same >= AGREE], same[same >= AGREE]
+                out.append((a[here], b[here], same))
+            yield at, n, np.unique(own, return_inverse=True)[1], *(np.concatenate(c) for c in zip(*out, strict=True))
 
-    return run
+    return s, keys, tables, found()
+
+
+def _likely_pairs(table: pa.Table) -> pa.Table:
+    """A spanning forest of each bucket's pairs that agree in LIKELY places, as (a, b,
+    -1); and the rows in any pair that agrees in AGREE, as (set, key, table)."""
+    s, keys, tables, buckets_ = _apart(table)
+    out, busy = [], np.zeros(len(s), bool)
+    for at, n, label, a, b, same in buckets_:
+        busy[a] = busy[b] = True
+        likely = np.flatnonzero(same >= LIKELY)
+        a, b = a[likely], b[likely]
+        some = _forest(label[a - at], label[b - at], n)  # sets of one root are joined already
+        out.append((a[some], b[some]))
+    a, b = _edges(out, s)
+    return pa.table({"a": np.append(a, s[busy]), "b": np.append(b, keys[busy]), "i": np.append(np.full(len(a), -1), tables[busy]).astype(np.int32)})
+
+
+def _agreeing_pairs(table: pa.Table) -> pa.Table:
+    """All pairs that are apart and agree in AGREE places."""
+    s, _, _, buckets_ = _apart(table)
+    a, b = _edges([(a, b) for _, _, _, a, b, _ in buckets_], s)
+    return pa.table({"a": a, "b": b})
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -310,6 +326,10 @@ def links(docs: DataFrame, kinds: DataFrame, words: int = WORDS, percent: int =
         wanted = _few(stored(names.distinct()))
         return stored(narrow(docs, "text").mapInArrow(run, "s long, h array<long>").join(wanted, "s", "left_semi").groupBy("s").agg(F.first("h").alias("h")))
 
+    def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        roots = components(edges).select(F.col("node").alias("s"), "root")
+        return rows.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
+
     total = kinds.count() * 4 * 31
     group = F.pmod("k", F.lit(max(1, -(-total // TASK_ROWS))))
     first = buckets(kinds).select("k", "s", "f1", "f2", "i", group.alias("g")).groupBy("g").applyInArrow(_first_pairs(dense, part_rows), "a long, b long, left int")
@@ -319,27 +339,32 @@ def links(docs: DataFrame, kinds: DataFrame, words: int = WORDS, percent: int =
     large = first.where("left = 1").select(F.col("a").alias("k"))
     if large.limit(1).count() == 0:
         return found
-    every = stored(buckets(kinds).join(_few(large), "k", "left_semi").select("k", "s", "f1", "f2", "i"))
-    sets = sketches = None
-    for agree, forest in ((LIKELY, True), (AGREE, False)):
-        roots = components(found).select(F.col("node").alias("s"), "root")
-        rows = stored(every.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")))
-        # a bucket that is one component by now has no more links to find
-        mixed = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi"))
-        parts = F.ceil(F.col("n") * 2 / part_rows).cast("int")
-        mixed = stored(mixed.select("k", F.when(F.col("n") > part_rows, parts).otherwise(1).alias("parts"), "n"))
-        asked = mixed.agg(F.sum(F.col("n") * F.col("parts"))).first()[0]
-        if not asked:
-            return found
-        rows = stored(spread_lookup(rows, mixed.drop("n"), ["k"], F.col("s")).withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")))
-        if sets is None:  # the second round has no other buckets
-            sets = sets_of(rows.select("s"))
-            sketches = stored(sets.mapInArrow(sketched, "s long, z binary"))
-        rows = rows.join(sketches, "s").select("s", "f1", "f2", "z", "i", "root", "k", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        rows = rows.select("s", "f1", "f2", "z", "i", "root", F.xxhash64("k", F.least("part", "other"), F.greatest("part", "other")).alias("k"))
-        more = rows.withColumn("g", F.pmod("k", F.lit(max(1, -(-asked // TASK_ROWS))))).groupBy("g").applyInArrow(_other_pairs(agree, forest), "a long, b long")
-        found = stored(found.unionByName(confirmed(stored(more.distinct()), sets, percent)))
-    return found
+    every = stored(buckets(rooted(kinds, found)).join(_few(large), "k", "left_semi").select("k", "s", "f1", "f2", "root", "i"))
+    # a bucket that is one component by now has no more links to find
+    mixed = every.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi"))
+    parts = F.ceil(F.col("n") * 2 / part_rows).cast("int")
+    mixed = stored(mixed.select("k", F.when(F.col("n") > part_rows, parts).otherwise(1).alias("parts"), "n"))
+    asked = mixed.agg(F.sum(F.col("n") * F.col("parts"))).first()[0]
+    if not asked:
+        return found
+    rows = spread_lookup(every, mixed.drop("n"), ["k"], F.col("s")).withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
+    # a row for each set, with its buckets (one a table at most)
+    own = stored(rows.groupBy("s").agg(*(F.first(c).alias(c) for c in ("f1", "f2", "root")), F.collect_list(F.struct("k", "i", "part", "parts")).alias("e")))
+    sets = sets_of(own.select("s"))
+    own = stored(own.join(sets.mapInArrow(sketched, "s long, z binary"), "s"))
+    others = F.flatten(F.transform("e", lambda e: F.transform(F.sequence(F.lit(0), e["parts"] - 1), lambda o: F.struct(F.xxhash64(e["k"], F.least(e["part"], o), F.greatest(e["part"], o)).alias("k"), e["i"].alias("i")))))
+    rows = own.select("s", "f1", "f2", "z", "root", F.explode(others).alias("e")).select("s", "f1", "f2", "z", "root", "e.k", "e.i")
+    task = F.pmod("k", F.lit(max(1, -(-asked // TASK_ROWS))))
+    likely = stored(rows.withColumn("g", task).groupBy("g").applyInArrow(_likely_pairs, "a long, b long, i int"))
+    pairs = stored(likely.where("i < 0").select("a", "b").distinct())
+    found = stored(found.unionByName(confirmed(pairs, sets, percent)))
+    # only rows that are in a pair of the kind have more to find, in the same buckets
+    busy = likely.where("i >= 0").select(F.col("a").alias("s"), F.col("b").alias("k"), "i")
+    if busy.limit(1).count() == 0:
+        return found
+    rows = busy.join(rooted(own.drop("e", "root"), found), "s")
+    more = rows.withColumn("g", task).groupBy("g").applyInArrow(_agreeing_pairs, "a long, b long")
+    return stored(found.unionByName(confirmed(stored(more.distinct()), sets, percent)))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, **options) -> DataFrame:
