@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import LOWER, RollingHash, chunks, column_bytes, hash_bytes, isin_sorted, mix, narrow, word_spans
+from .textops import LOWER, RollingHash, chunks, column_bytes, hash_bytes, isin_sorted, lean, mix, narrow, word_spans
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -235,7 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "covered", "words", "t"])
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(lean(run, "powers"), schema)
 
     out, block, size = None, [], 0
     for r in narrow(benchmark, "item_id", "text").toLocalIterator():

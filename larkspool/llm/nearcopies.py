@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .simhash import components, keep_rows, majority, masks, signed
-from .textops import LOWER, RollingHash, chunks, column_bytes, mix, narrow, spread_lookup, stored, word_spans
+from .textops import LOWER, RollingHash, chunks, column_bytes, lean, lean_groups, mix, narrow, spread_lookup, stored, word_spans
 
 WORDS = 5
 PERCENT = 80
@@ -113,7 +113,7 @@ def named(docs: DataFrame, words: int = WORDS) -> DataFrame:
             cols = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "t", "s", "f1", "f2"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("t"), docs["text"]).mapInArrow(run, "doc_id long, t long, s long, f1 long, f2 long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("t"), docs["text"]).mapInArrow(lean(run, "powers"), "doc_id long, t long, s long, f1 long, f2 long")
 
 
 def buckets(kinds: DataFrame) -> DataFrame:
@@ -324,7 +324,7 @@ def links(docs: DataFrame, kinds: DataFrame, words: int = WORDS, percent: int =
 
     def sets_of(names: DataFrame) -> DataFrame:
         wanted = _few(stored(names.distinct()))
-        return stored(narrow(docs, "text").mapInArrow(run, "s long, h array<long>").join(wanted, "s", "left_semi").groupBy("s").agg(F.first("h").alias("h")))
+        return stored(narrow(docs, "text").mapInArrow(lean(run, "powers"), "s long, h array<long>").join(wanted, "s", "left_semi").groupBy("s").agg(F.first("h").alias("h")))
 
     def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
         roots = components(edges).select(F.col("node").alias("s"), "root")
@@ -332,7 +332,7 @@ def links(docs: DataFrame, kinds: DataFrame, words: int = WORDS, percent: int =
 
     total = kinds.count() * 4 * 31
     group = F.pmod("k", F.lit(max(1, -(-total // TASK_ROWS))))
-    first = buckets(kinds).select("k", "s", "f1", "f2", "i", group.alias("g")).groupBy("g").applyInArrow(_first_pairs(dense, part_rows), "a long, b long, left int")
+    first = buckets(kinds).select("k", "s", "f1", "f2", "i", group.alias("g")).groupBy("g").applyInArrow(lean_groups(_first_pairs(dense, part_rows)), "a long, b long, left int")
     first = stored(first.distinct())
     pairs = first.where("left = 0").select("a", "b")
     found = stored(confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("s"))), percent))
@@ -351,11 +351,11 @@ def links(docs: DataFrame, kinds: DataFrame, words: int = WORDS, percent: int =
     # a row for each set, with its buckets (one a table at most)
     own = stored(rows.groupBy("s").agg(*(F.first(c).alias(c) for c in ("f1", "f2", "root")), F.collect_list(F.struct("k", "i", "part", "parts")).alias("e")))
     sets = sets_of(own.select("s"))
-    own = stored(own.join(sets.mapInArrow(sketched, "s long, z binary"), "s"))
+    own = stored(own.join(sets.mapInArrow(lean(sketched), "s long, z binary"), "s"))
     others = F.flatten(F.transform("e", lambda e: F.transform(F.sequence(F.lit(0), e["parts"] - 1), lambda o: F.struct(F.xxhash64(e["k"], F.least(e["part"], o), F.greatest(e["part"], o)).alias("k"), e["i"].alias("i")))))
     rows = own.select("s", "f1", "f2", "z", "root", F.explode(others).alias("e")).select("s", "f1", "f2", "z", "root", "e.k", "e.i")
     task = F.pmod("k", F.lit(max(1, -(-asked // TASK_ROWS))))
-    likely = stored(rows.withColumn("g", task).groupBy("g").applyInArrow(_likely_pairs, "a long, b long, i int"))
+    likely = stored(rows.withColumn("g", task).groupBy("g").applyInArrow(lean_groups(_likely_pairs), "a long, b long, i int"))
     pairs = stored(likely.where("i < 0").select("a", "b").distinct())
     found = stored(found.unionByName(confirmed(pairs, sets, percent)))
     # only rows that are in a pair of the kind have more to find, in the same buckets
@@ -363,7 +363,7 @@ def links(docs: DataFrame, kinds: DataFrame, words: int = WORDS, percent: int =
     if busy.limit(1).count() == 0:
         return found
     rows = busy.join(rooted(own.drop("e", "root"), found), "s")
-    more = rows.withColumn("g", task).groupBy("g").applyInArrow(_agreeing_pairs, "a long, b long")
+    more = rows.withColumn("g", task).groupBy("g").applyInArrow(lean_groups(_agreeing_pairs), "a long, b long")
     return stored(found.unionByName(confirmed(stored(more.distinct()), sets, percent)))
 
 

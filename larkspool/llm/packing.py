@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textops import blocks_for, chunks, column_bytes, narrow, stored, text_bytes
+from .textops import blocks_for, chunks, column_bytes, lean, narrow, stored, text_bytes
 from .tokens import default_path, ids_for
 
 CAPACITY = 1024
@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
             n = 6 if with_ids else 5
             yield pa.RecordBatch.from_arrays(arrays[:n], names[:n])
 
-    return narrow(docs, "doc_id", "text").mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return narrow(docs, "doc_id", "text").mapInArrow(lean(run, "powers", "ids"), PIECES + (", ids binary" if with_ids else ""))
 
 
 class Histogram:

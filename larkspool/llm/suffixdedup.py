@@ -41,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import CHUNK_BYTES, RollingHash, blocks_for, chunks, column_bytes, extended, mix, narrow, spread_lookup, stored, text_bytes
+from .textops import RollingHash, blocks_for, chunks, column_bytes, extended, lean, lean_groups, mix, narrow, spread_lookup, stored, text_bytes
 
 LENGTH = 200
 GRAM = 24
 BLOCK_BYTES = 8 << 20
 #: Bytes of segments whose suffixes are sorted together.
 BUCKET_BYTES = 2 << 20
+#: Text bytes handled at a time: a window takes some twenty numbers of eight bytes.
+SLICE = 1 << 19
 HOT_SEGMENTS = 20_000
 _POS = np.uint64((1 << 28) - 1)
 
@@ -88,11 +90,11 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
 def all_segments(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
     """segments() of a chunk of documents; one document longer than a chunk is
     gone through in pieces that overlap by all of a window but a byte."""
-    if len(offs) > 2 or len(buf) <= 2 * CHUNK_BYTES:
+    if len(offs) > 2 or len(buf) <= 2 * SLICE:
         yield segments(buf, offs, length, gram)
         return
-    for a in range(0, len(buf), CHUNK_BYTES):
-        part = buf[a : a + CHUNK_BYTES + length - 1]
+    for a in range(0, len(buf), SLICE):
+        part = buf[a : a + SLICE + length - 1]
         doc, g, s, low, n = segments(part, np.array([0, len(part)]), length, gram)
         yield doc, g, s, low + a, n
 
@@ -106,14 +108,16 @@ def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     code = np.zeros(n, np.uint64)
     for j in range(depth):
         code = (code << np.uint64(8)) | padded[j : j + n]
-    order = np.argsort(code, kind="stable")
-    key = code[order]
-    first = np.append(True, key[1:] != key[:-1])
-    at = np.flatnonzero(first)
-    pointer = np.zeros(n + length, np.int64)  # a bucket's pointer is the place of its first suffix
-    pointer[order] = at[np.cumsum(first) - 1]
+    order = np.argsort(code, kind="stable").astype(np.int32)
+    code = code[order]
+    first = np.append(True, code[1:] != code[:-1])
+    del code, padded
+    at = np.flatnonzero(first).astype(np.int32)
+    pointer = np.zeros(n + length, np.int32)  # a bucket's pointer is the place of its first suffix
+    pointer[order] = at[np.cumsum(first, dtype=np.int32) - 1]
     size = np.diff(np.append(at, n))
     active = order[np.repeat(size > 1, size)]
+    del order, first
     while depth < length:
         step = min(depth, length - depth)
         if depth + step == length:  # only whole strings matter in the last pass
@@ -122,7 +126,7 @@ def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
             active = active[wanted[active]]
         if not len(active):
             break
-        active = active[np.argsort(pointer[active] * (n + 1) + pointer[active + step])]
+        active = active[np.argsort(pointer[active].astype(np.int64) * (n + 1) + pointer[active + step])]
         old, later = pointer[active], pointer[active + step]
         bucket = np.append(True, old[1:] != old[:-1])
         first = bucket | np.append(True, later[1:] != later[:-1])
@@ -161,12 +165,12 @@ def repeated_spans(keyed: DataFrame, blocks: int, length: int, gram: int, hot_se
         for batch in batches:
             keys = batch.column(0).to_numpy()
             buf, offs = column_bytes(batch.column(1))
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, SLICE):
                 for doc, g, s, low, n in all_segments(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram):
                     cols = [g.view(np.int64), s.view(np.int64), keys[i + doc], low.astype(np.int32), n.astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "content", "key", "low", "n"])
 
-    found = narrow(keyed, "key", "text").mapInArrow(scan, "gram long, content long, key long, low int, n int")
+    found = narrow(keyed, "key", "text").mapInArrow(lean(scan, "powers"), "gram long, content long, key long, low int, n int")
     # stored, so that the join's shuffle is its own and a hot q-gram's rows can be split
     again = stored(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
     found = stored(found.join(again, "gram", "left_semi"))
@@ -187,9 +191,18 @@ def repeated_spans(keyed: DataFrame, blocks: int, length: int, gram: int, hot_se
         cols = {c: ask.column(c) for c in ("gram", "copies", "key", "low", "kinds")}
         return pa.table(cols | {"bytes": pa.array([data[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())})
 
-    pieces = keyed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(cut, "gram long, copies long, key long, low int, kinds long, bytes binary")
+    pieces = keyed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lean_groups(cut), "gram long, copies long, key long, low int, kinds long, bytes binary")
 
     def sort_bucket(table: pa.Table) -> pa.Table:
+        """Some q-grams at a time: windows of different ones are never equal."""
+        table = table.sort_by("gram").combine_chunks()
+        own = table.column("gram").to_numpy()
+        edge = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
+        _, offs = column_bytes(table.column("bytes"))
+        ranges = [(int(edge[i]), int(edge[j])) for i, j in chunks(offs[edge], SLICE)]
+        return pa.concat_tables([sort_grams(table.slice(i, j - i)) for i, j in ranges])
+
+    def sort_grams(table: pa.Table) -> pa.Table:
         text, offs = column_bytes(table.column("bytes"))
         ends = np.repeat(offs[1:], np.diff(offs))
         starts = np.flatnonzero(np.arange(len(text)) + length <= ends)
@@ -206,14 +219,14 @@ def repeated_spans(keyed: DataFrame, blocks: int, length: int, gram: int, hot_se
 
     spans = "key long, start long, end long"
     bucket = F.pmod("gram", F.lit(blocks_for(total, BUCKET_BYTES)))
-    sorted_ = pieces.where(F.col("kinds") <= hot_segments).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(sort_bucket, spans)
+    sorted_ = pieces.where(F.col("kinds") <= hot_segments).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(lean_groups(sort_bucket), spans)
     if (most or 0) > hot_segments:
 
         def explode(batches):
             for batch in batches:
                 _, copies, keys, lows = (batch.column(i).to_numpy() for i in range(4))
                 buf, offs = column_bytes(batch.column(4))
-                for i, j in chunks(offs):
+                for i, j in chunks(offs, SLICE):
                     part, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                     at = np.flatnonzero(np.arange(len(part)) + length <= np.repeat(o[1:], np.diff(o)))
                     seg = np.searchsorted(o, at, "right") - 1
@@ -225,7 +238,7 @@ def repeated_spans(keyed: DataFrame, blocks: int, length: int, gram: int, hot_se
 
         # the q-gram is made as long as the window: such a bucket has no later offset to be refined by
         hot = pieces.where(F.col("kinds") > hot_segments).select("gram", "copies", "key", "low", "bytes")
-        windows = hot.mapInArrow(explode, "copies long, key long, start long, window long, half long")
+        windows = hot.mapInArrow(lean(explode, "powers"), "copies long, key long, start long, window long, half long")
         twice = windows.groupBy("window", "half").agg(F.count("*").alias("c")).where("c > 1").select("window", "half")
         repeats = spread_lookup(windows.where("copies = 1"), twice, ["window", "half"], F.col("key"), "left_semi")
         sorted_ = sorted_.unionByName(repeats.select("key", "start", (F.col("start") + length).alias("end")))
@@ -272,7 +285,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
         return pa.table({"rest": docs.column("rest"), "text": docs.column("text"), "kept": pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), "n_bytes": np.diff(offs), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
     schema = extended(keyed.select("rest", "text"), kept="string" if as_text else "binary", n_bytes="long", n_removed="long", spans="array<struct<start: long, end: long>>")
-    out = keyed.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(apply, schema)
+    out = keyed.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(lean_groups(apply), schema)
     cols = [F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in payload]
     return out.select(*cols, "kept", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans")
 

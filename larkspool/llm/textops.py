@@ -7,6 +7,8 @@ layout of an Arrow string column), so no per-word Python objects are made.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import inspect
 import uuid
 
 import numpy as np
@@ -37,10 +39,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: What a worker keeps from task to task, by name: dicts and lists.
+CACHES: dict[str, dict | list] = {}
+
+
+def give_back() -> None:
+    """Return the memory that this process has freed to the system, where the C
+    library can: else it stays with the worker for as long as that is reused."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def drop_caches(keeps: tuple[str, ...]) -> None:
+    for name, held in CACHES.items():
+        if name not in keeps:
+            held.clear()
+
+
+def lean(run, *keeps: str):
+    """run, a function from batches to batches, for a reused worker: what other
+    operators keep there (CACHES without `keeps`) is dropped before the first batch,
+    and freed memory is given back after the last."""
+
+    def lean_run(batches):
+        drop_caches(keeps)
+        yield from run(batches)
+        give_back()
+
+    return lean_run
+
+
+def lean_groups(run):
+    """run, a function from the tables of a group to one, that gives freed memory back."""
+
+    def lean_run(*tables: pa.Table) -> pa.Table:
+        out = run(*tables)
+        give_back()
+        return out
+
+    if len(inspect.signature(run).parameters) == 1:  # Spark tells by the signature whether a key is wanted
+        return lambda table: lean_run(table)
+    return lambda left, right: lean_run(left, right)
+
+
 #: A fixed pseudo-random 64-bit value per byte.
 BYTE_KEYS = mix(np.arange(1, 257, dtype=np.uint64) * _MUL)
 
 _powers: dict[str, np.ndarray] = {}
+CACHES["powers"] = _powers
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,6 +271,7 @@ def exclusive_prefix(df: DataFrame, key: str, value: str, out: str, group: int =
 
 
 _code_keys: list[np.ndarray] = []
+CACHES["code points"] = _code_keys
 
 
 def code_point_keys() -> np.ndarray:

@@ -14,7 +14,7 @@ import json
 
 import numpy as np
 
-from .textops import WHITE, RollingHash
+from .textops import CACHES, WHITE, RollingHash
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -143,6 +143,7 @@ class Ids:
 
 
 _made: dict[str, Ids] = {}
+CACHES["ids"] = _made
 
 
 def ids_for(path: str) -> Ids:

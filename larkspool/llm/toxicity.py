@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import RollingHash, batch_slices, characters, code_point_keys, extended, fold, narrow, text_chunks
+from .textops import RollingHash, batch_slices, characters, code_point_keys, extended, fold, lean, narrow, text_chunks
 
 ORDERS = (4, 5)
 BITS = 18
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, orders
 
     zero, one = (labels.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for x in (0, 1))
     picked = narrow(docs, "doc_id", "text").join(F.broadcast(zero.unionByName(one)), "doc_id").select("doc_id", "toxic", "text")  # 2 * per_class ids
-    got = picked.mapInArrow(run, extended(picked.select("doc_id"), toxic="int", f="binary")).groupBy("doc_id", "toxic").agg(F.min("f").alias("f")).collect()
+    got = picked.mapInArrow(lean(run, "powers", "code points"), extended(picked.select("doc_id"), toxic="int", f="binary")).groupBy("doc_id", "toxic").agg(F.min("f").alias("f")).collect()
     got.sort(key=lambda r: (r["toxic"], r["doc_id"]))
     return fit([np.frombuffer(r["f"], np.int32) for r in got], np.array([r["toxic"] for r in got]), share, orders, bits)
 
@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, name])
 
     schema = extended(docs, **{name: "double"})
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, "powers", "code points"), schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

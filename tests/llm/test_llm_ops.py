@@ -5,14 +5,16 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from larkspool.llm import decontam, fingerprint, langid, lm, packing, sharding, simhash, suffixdedup, toxicity
+from larkspool.llm import decontam, fingerprint, langid, lm, packing, sharding, simhash, suffixdedup, textops, toxicity
 from larkspool.llm.textops import exclusive_prefix
 
 RNG = random.Random(5)
@@ -238,6 +240,34 @@ def test_refine_is_a_suffix_array_to_depth():
         assert (suffixdedup.refine(text, starts, length) == [seen[data[i : i + length]] > 1 for i in starts]).all()
 
 
+def test_suffix_dedup_in_little_memory():
+    """Peaks of a scan and of a bucket's sort, which two workers of an executor reach at once."""
+    text = np.random.default_rng(4).integers(97, 123, 3 << 20).astype(np.uint8)
+    text[2_000_000:2_001_000] = text[:1000]
+    tracemalloc.start()
+    found = [x for part in suffixdedup.all_segments(text, np.array([0, len(text)]), 200, 24) for x in zip(part[1].tolist(), part[2].tolist(), strict=True)]
+    scan = tracemalloc.get_traced_memory()[1]
+    assert 2 < sum(c > 1 for c in collections.Counter(found).values())
+    del found
+    tracemalloc.reset_peak()
+    flags = suffixdedup.refine(text[: 1 << 20], np.arange((1 << 20) - 200), 200)
+    sort = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not flags.any()
+    assert scan < 130 << 20 and sort < 60 << 20, (scan >> 20, sort >> 20)
+
+
+def test_lean_workers():
+    """Caches of other operators go before the first batch; results stay."""
+    held = dict(textops.CACHES)
+    textops.powers(10)
+    textops.code_point_keys()
+    assert list(textops.lean(lambda batches: (2 * x for x in batches), "powers")(iter([1, 2]))) == [2, 4]
+    assert held["powers"] and not held["code points"]
+    plan = cloudpickle.dumps([textops.lean(lambda batches: batches), textops.lean_groups(lambda table: table)])
+    assert len(plan) < 10_000  # the driver's caches stay out of what goes to the workers
+
+
 def check_packing(rows, capacity):
     by = collections.defaultdict(list)
     for r in rows:
