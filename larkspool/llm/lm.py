@@ -55,6 +55,8 @@ SAFE_BITS = 20
 #: Tokens that one walk scores.
 STRETCH = 256
 SUMS = ("tokens", "kinds", "ones", "twos")
+#: Made once: there is a blob for each block, slice and order.
+_PRESS, _OPEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 
@@ -103,13 +105,13 @@ def packed(keys: np.ndarray) -> bytes:
     d = np.diff(keys)
     width = (int(d.max()).bit_length() + 7) // 8 if len(d) else 0
     planes = np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return zstandard.compress(bytes([width]) + keys[:1].astype("<u8").tobytes() + planes.tobytes(), 1)
+    return _PRESS.compress(bytes([width]) + keys[:1].astype("<u8").tobytes() + planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint64)
-    data = zstandard.decompress(data)
+    data = _OPEN.decompress(data)
     width = data[0]
     n = (len(data) - 9) // width if width else 0
     d = np.zeros((n + 1, 8), np.uint8)
@@ -121,11 +123,11 @@ def unpacked(data: bytes) -> np.ndarray:
 def _small(x: np.ndarray) -> bytes:
     """Counts, compressed, in the narrowest type that holds them; its width leads."""
     kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(x) or x.max() <= np.iinfo(t).max)
-    return zstandard.compress(bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes(), 1)
+    return _PRESS.compress(bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes())
 
 
 def _counts(data: bytes) -> np.ndarray:
-    data = zstandard.decompress(data)
+    data = _OPEN.decompress(data)
     return np.frombuffer(data[1:], {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[data[0]]).astype(np.int64)
 
 
@@ -174,10 +176,12 @@ class Automaton:
     goal. n, v, n1, n2: training tokens, kinds, kinds that occur once and twice.
     """
 
-    def __init__(self, found: list[np.ndarray], totals: list[np.ndarray], first: np.ndarray, ends: int, sums: tuple[int, int, int, int], mu: tuple[float, ...]):
+    def __init__(self, found: list[np.ndarray], totals: list[np.ndarray], first: np.ndarray, ends: int, sums: tuple[int, int, int, int], mu: tuple[float, ...], ranks: list[tuple[int, np.ndarray]] | None = None):
         """found: by order, the hash of the n-gram that ends at each token; totals:
-        how often it occurs in the training rows; ends: of those rows."""
+        how often it occurs in the training rows; ends: of those rows. ranks: by
+        order, how many different hashes there are, and the rank of each token's."""
         order = len(found)
+        ranks = ranks or [(len(u), inv) for u, inv in (np.unique(g, return_inverse=True) for g in found)]
         n, v, n1, n2 = sums
         d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         self.unknown = float(np.log10(d * v / n)) if n else 0.0
@@ -191,9 +195,11 @@ class Automaton:
             else:
                 m = shifted(totals[k - 2], first, ends)
                 p = (total + mu[k - 2] * shorter[0]) / (m + mu[k - 2])
-            seen = np.flatnonzero(total > 0)
-            _, at = np.unique(gram[seen], return_index=True)
-            at = seen[at]
+            kinds, rank = ranks[k - 1]
+            at = np.empty(kinds, np.int64)
+            at[rank] = np.arange(len(gram))  # any token of the kind: all that follows depends on the n-gram alone
+            seen = total[at] > 0
+            at = at[seen]
             if k < order:  # states, that of a text's begin first
                 own = np.concatenate([begin, gram[at]])
                 own_mu = mu[k - 1]
@@ -201,8 +207,7 @@ class Automaton:
                 backs.append(np.log10(own_mu / (np.concatenate([[ends], total[at]]) + own_mu)))
                 fails.append(np.concatenate([[start], shorter[1][at] if k > 1 else np.zeros(len(at), np.int64)]))
                 start = states
-                place = np.full(len(gram), 0, np.int64)
-                place[seen] = states + 1 + np.searchsorted(gram[at], gram[seen])
+                place = np.where(seen, states + np.cumsum(seen), 0)[rank]
                 states += len(own)
                 begin = mix(begin * np.uint64(0x9E3779B97F4A7C15) + START)
             else:
@@ -315,18 +320,23 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, mu: tuple[float
         buf, offs = column_bytes(docs.column("text"))
         words, first = tokens(buf, offs)
         where, blobs = back.column("slice").to_numpy(), back.column("totals").to_pylist()
-        found, totals, ends = grams(words, first, order), [], 0
+        found, totals, ranks, ends = grams(words, first, order), [], [], 0
         for k, g in enumerate(found):
-            keys, inv, edge = kinds(g)
+            whole, inv = np.unique(g, return_inverse=True)
+            keys = whole >> np.uint64(64 - bits)
+            new = np.append(True, keys[1:] != keys[:-1])
+            keys = keys[new]
+            edge = slice_bounds(keys, slices, bits)
             tot = np.zeros(len(keys), np.int64)
             for s, blob in zip(where.tolist(), blobs, strict=True):
                 tot[edge[s] : edge[s + 1]] = _counts(blob[k])
             if k == 0:
                 ends = int(tot[np.searchsorted(keys, END >> np.uint64(64 - bits))])
-            totals.append(tot[inv])
+            totals.append(tot[np.cumsum(new) - 1][inv])
+            ranks.append((len(whole), inv))
         sums = tuple(back.column(c)[0].as_py() for c in SUMS)
         c, n = totals[0], np.diff(first)
-        own = Automaton(found, totals, first, ends, sums, mu).walk(words, first)
+        own = Automaton(found, totals, first, ends, sums, mu, ranks).walk(words, first)
         base = np.add.reduceat(np.log10((c + 1) / (sums[0] + sums[1] + 1)), first[:-1])
         cols = {"doc_id": docs.column("doc_id"), "training": docs.column("training"), "n_tokens": n, "n_known": np.add.reduceat((c > 0).astype(np.int64), first[:-1])}
         return pa.table(cols | {"train_tokens": np.full(len(n), sums[0]), "base_score": base, "score": own})

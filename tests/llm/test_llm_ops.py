@@ -101,6 +101,23 @@ def test_lm_packing_of_hashes():
         assert (lm.unpacked(lm.packed(keys)) == keys).all()
 
 
+def test_lm_automaton_sorts_nothing_again(monkeypatch):
+    """With the ranks that the caller has, the same automaton is made without another sort;
+    n-grams that don't occur in training rows get no arc."""
+    r = np.random.default_rng(2)
+    words = np.append(r.integers(10, 40, 800).astype(np.uint64), lm.END)
+    first = np.array([0, 801])
+    found = lm.grams(words, first, 3)
+    kinds = [np.unique(g, return_inverse=True, return_counts=True) for g in found]
+    totals = [(n * (u % np.uint64(3 + k) > 0))[inv] for k, (u, inv, n) in enumerate(kinds)]
+    want = lm.Automaton(found, totals, first, 1, (800, 31, 2, 3), (4.0, 2.0))
+    for name in ("unique", "sort", "argsort", "searchsorted"):
+        monkeypatch.setattr(np, name, None)
+    got = lm.Automaton(found, totals, first, 1, (800, 31, 2, 3), (4.0, 2.0), [(len(u), inv) for u, inv, _ in kinds])
+    assert all((getattr(got, c) == getattr(want, c)).all() for c in ("hash", "back", "fail", "weight", "goal"))
+    assert len(got.arcs.keys) == sum(len(set(g[t > 0].tolist())) for g, t in zip(found, totals, strict=True))
+
+
 def test_lm_automaton():
     """States, arcs and failure arcs of a hand-made text; long texts are walked in stretches."""
     words = np.array([5, 6, 5, 6, 7, int(lm.END)], np.uint64)
