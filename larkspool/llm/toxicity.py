@@ -5,8 +5,9 @@ log-count ratio of the n-gram between the classes, and each text's vector is
 brought to unit length; n-grams whose occurrence doesn't differ significantly
 between the classes count as nothing. Logistic regression over these features is fitted on the
 driver to a bounded sample: per class at most `per_class` labelled rows, those
-with the smallest hash of their id. The classes' true shares, counted over all
-labelled rows, set the intercept.
+with the smallest hash of their id. The driver gets the sample's counts, one for
+each n-gram and class, and then of each row only the n-grams that count for
+something. The classes' true shares, counted over all labelled rows, set the intercept.
 
 Defined cases: a null text is the empty text and gets a score like any other; a
 row whose label is null is not learnt from; if a class has no labelled row, every
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textops import RollingHash, batch_slices, characters, code_point_keys, extended, fold, lean, narrow, text_chunks
+from .textops import RollingHash, batch_slices, characters, code_point_keys, extended, fold, lean, narrow, stored, text_chunks
 
 ORDERS = (4, 5)
 BITS = 18
@@ -75,19 +76,34 @@ def evidence(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
     return 2 * (term(a) + term(b) + term(n1 - a) + term(n0 - b) - term(a + b) - term(n - a - b) - term(n1) - term(n0) + term(n))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, orders=ORDERS, bits=BITS, penalty=PENALTY, steps=STEPS) -> Model:
-    """rows: features() of the sample; share: of label 1 among all labelled rows."""
+def tally(rows, labels, bits: int = BITS) -> np.ndarray:
+    """For either label, how many of its rows have each feature."""
+    seen = np.zeros((2, 1 << bits), np.int64)
+    for f, label in zip(rows, labels, strict=True):  # an n-gram is once in a row
+        seen[label, f] += 1
+    return seen
+
+
+def ratios(seen: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """The log-count ratios of features by their tally in n1 rows of label 1 and n0
+    of label 0; 0 without evidence."""
+    neg, pos = seen + 1.0
+    ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
+    ratio[evidence(pos - 1, neg - 1, n1, n0) < EVIDENCE] = 0
+    return ratio
+
+
+def constant(share: float, orders=ORDERS, bits=BITS) -> Model:
+    """Of a sample without both classes."""
+    p = min(max(share, 1e-6), 1 - 1e-6)
+    return Model(np.zeros(1 << bits), np.zeros(1 << bits), float(np.log(p / (1 - p))), orders, bits)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, share: float, orders=ORDERS, bits=BITS, penalty=PENALTY, steps=STEPS) -> Model:
+    """rows: features() of the sample, of both classes, that have a ratio; share: of
+    label 1 among all labelled rows."""
     y = labels.astype(float)
     size = 1 << bits
-    if not len(y) or y.min() == y.max():
-        p = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(size), np.zeros(size), float(np.log(p / (1 - p))), orders, bits)
-    pos, neg = np.ones(size), np.ones(size)
-    for f, label in zip(rows, y, strict=True):  # an n-gram is once in a row
-        (pos if label else neg)[f] += 1
-    ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    ratio[evidence(pos - 1, neg - 1, y.sum(), (1 - y).sum()) < EVIDENCE] = 0
-    rows = [f[ratio[f] != 0] for f in rows]
     idx, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(f) for f in rows])
     norm = np.sqrt(np.bincount(doc, weights=ratio[idx] ** 2, minlength=len(rows))) + 1e-9
     x = SCALE * ratio[idx] / norm[doc]
@@ -115,17 +131,43 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, orders
     labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     counts = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
+    if len(counts) < 2:
+        return constant(share, orders, bits)
 
     def run(batches):
         for batch in (part for whole in batches for part in batch_slices(whole, 2)):
             rows = [x.astype(np.int32).tobytes() for x in features(batch.column(2).to_pylist(), orders, bits)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "toxic", "f"])
 
+    def grams(batch):
+        return [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("f")]
+
+    def count(batches):
+        seen = np.zeros((2, 1 << bits), np.int64)
+        for batch in batches:
+            seen += tally(grams(batch), batch.column("toxic").to_pylist(), bits)
+        at = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, *seen[:, at])], ["gram", "n0", "n1"])
+
     zero, one = (labels.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for x in (0, 1))
     picked = narrow(docs, "doc_id", "text").join(F.broadcast(zero.unionByName(one)), "doc_id").select("doc_id", "toxic", "text")  # 2 * per_class ids
-    got = picked.mapInArrow(lean(run, "powers", "code points"), extended(picked.select("doc_id"), toxic="int", f="binary")).groupBy("doc_id", "toxic").agg(F.min("f").alias("f")).collect()
+    schema = extended(picked.select("doc_id"), toxic="int", f="binary")
+    sample = stored(picked.mapInArrow(lean(run, "powers", "code points"), schema).groupBy("doc_id", "toxic").agg(F.min("f").alias("f")))
+    sums = sample.mapInArrow(count, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # bounded: 2**bits rows
+    seen = np.zeros((2, 1 << bits), np.int64)
+    seen[:, sums["gram"].to_numpy()] = sums["n0"].to_numpy(), sums["n1"].to_numpy()
+    n0, n1 = (min(counts[x], per_class) for x in (0, 1))
+    ratio = ratios(seen, n1, n0)
+    telling = ratio != 0
+
+    def prune(batches):
+        for batch in batches:
+            rows = [x[telling[x]].tobytes() for x in grams(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "toxic", "f"])
+
+    got = sample.mapInArrow(prune, schema).collect()
     got.sort(key=lambda r: (r["toxic"], r["doc_id"]))
-    return fit([np.frombuffer(r["f"], np.int32) for r in got], np.array([r["toxic"] for r in got]), share, orders, bits)
+    return fit([np.frombuffer(r["f"], np.int32) for r in got], np.array([r["toxic"] for r in got]), ratio, share, orders, bits)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -448,6 +448,31 @@ def test_toxicity(spark):
     assert toxicity.score(empty(docs), none).count() == 0
 
 
+def test_toxicity_sends_only_telling_grams(spark, monkeypatch):
+    """The driver gets of each sampled row the n-grams with a ratio, and no others."""
+    rows = [(i, f"{prose(40, i)} {'gruesome' if i % 4 == 0 else ''} {prose(40, 1000 + i)}") for i in range(160)] + [(0, prose(30, 2000)), (500, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)] + [(500, 1)], "doc_id long, toxic int")
+    sent = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda sample, *more: sent.extend(sample) or fit(sample, *more))
+    model = toxicity.train(docs, labels, per_class=30)
+    first = [[r.doc_id for r in labels.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(30).collect()] for x in (0, 1)]
+    whole = [[min((f.astype(np.int32).tobytes() for f in toxicity.features([t for j, t in rows if j == i]))) for i in sorted(ids)] for ids in first]
+    whole = [[set(np.frombuffer(f, np.int32).tolist()) for f in sample] for sample in whole]
+    count = [collections.Counter(g for f in sample for g in f) for sample in whole]
+    term = lambda x: x * math.log(x) if x else 0
+    table = lambda a, b: sum(map(term, (a, b, 30 - a, 30 - b))) - term(a + b) - term(60 - a - b) - 2 * term(30) + term(60)
+    telling = {g for g in {*count[0], *count[1]} if 2 * table(count[1][g], count[0][g]) >= toxicity.EVIDENCE}
+    assert telling and [set(f.tolist()) for f in sent] == [f & telling for sample in whole for f in sample]
+    assert 10 * sum(map(len, sent)) < sum(len(f) for sample in whole for f in sample)
+    assert set(np.flatnonzero(model.squares).tolist()) == telling
+    total = [sum(c.values()) + (1 << toxicity.BITS) for c in count]
+    for g in telling:
+        ratio = math.log((count[1][g] + 1) / total[1]) - math.log((count[0][g] + 1) / total[0])
+        assert math.isclose(model.squares[g], ratio**2, rel_tol=1e-9)
+
+
 def test_language(spark):
     sets = {"aa": "abcde", "bb": "vwxyz", "cc": "aeiou"}
     r = random.Random(4)
